@@ -47,15 +47,16 @@ def build(ids: np.ndarray, docs: np.ndarray, known: np.ndarray, lens: np.ndarray
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
-    alphabet, code, many = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-many, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    many = np.bincount(ids, minlength=1)
+    alphabet = np.flatnonzero(many)
+    alphabet = alphabet[np.argsort(-many[alphabet], kind="stable")]
     width = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-    values = rank[code].astype(np.uint16 if width <= 16 else np.uint32)
+    rank = np.zeros(len(many), np.uint16 if width <= 16 else np.uint32)
+    rank[alphabet] = np.arange(len(alphabet))
+    values = rank[ids]
     body, zeros, blocks = io.BytesIO(), [], []
     for plane in range(width - 1, -1, -1):
-        bits = (values >> plane) & 1 == 1
+        bits = (values >> plane & 1).astype(bool)
         packed = np.packbits(bits, bitorder="little")
         ones = 0
         for a in range(0, len(packed), BLOCK // 8):
@@ -66,7 +67,7 @@ def build(ids: np.ndarray, docs: np.ndarray, known: np.ndarray, lens: np.ndarray
         zeros.append(len(bits) - ones)
         values = np.concatenate([values[~bits], values[bits]])
     blocks.append((body.tell(), 0))
-    tables = [alphabet[order].astype("<u4"), docs.astype("<i8"), known.astype("u1"), lens.astype("<u8"), np.array(blocks, "<u8")]
+    tables = [alphabet.astype("<u4"), docs.astype("<i8"), known.astype("u1"), lens.astype("<u8"), np.array(blocks, "<u8")]
     raw = [pack(t.tobytes()) for t in tables]
     head = json.dumps({"n": len(ids), "docs": len(docs), "width": width, "zeros": zeros, "tables": [len(r) for r in raw]}).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *raw, body.getvalue()])
@@ -238,7 +239,7 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
                     doc = pa.array(w.docs[a : a + 512], pa.int64(), mask=~w.known[a : a + 512])
                     yield pa.RecordBatch.from_arrays([doc, pa.array(base + s), pa.array(e - s), values], ["doc_id", "start", "n_tokens", "ids"])
 
-    return based.repartition(F.col("shard")).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return based.repartition(max(1, shards.count()), "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int = SHARD) -> DataFrame:
