@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempograph.llm import packing, quality, toxicity, wavelet
+from tempograph.llm import hamming, packing, quality, toxicity, vectors, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), at_least=0.98)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0, most=2048)
 
@@ -29,14 +33,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_wavelet_tokens": op4_wavelet_tokens,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op8_hamming_top_k": op8_hamming_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_hamming_top_k": hamming.ORACLE}
