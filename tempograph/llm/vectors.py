@@ -146,7 +146,7 @@ def _compare(ids, label, copies, x, key, side, at_least, tables, probes):
     return ids[say], links[say].astype(np.int64), ids[root][say]
 
 
-def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = 6, probes: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, at_least: float = 0.98, tables: int = 5, probes: int = 2) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
