@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempograph.llm import hamming, jaccard, packing, quality, toxicity, vectors, wavelet
+from tempograph.llm import chains, hamming, jaccard, packing, quality, toxicity, vectors, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(_table(spark, sf_dir, "documents"), least=50, k=8, similar=0.8)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
         "op8_hamming_top_k": op8_hamming_top_k,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
