@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a linear classifier over character n-grams.  A hashed n-gram's presence is scaled by its naive Bayes
 log-count ratio, and a logistic regression is fitted on the scaled features of labelled text.
 
-The sample is bounded by ``per_class`` (4,000 rows of each label by default) and comes from rows outside the held-out
+The sample is bounded by ``per_class`` (2,000 rows of each label by default) and comes from rows outside the held-out
 fold; every text is scored whole.  A-Z count as lower case, white space as one kind of blank.
 
 Defined results: a null or empty text has no n-grams and gets the intercept's score; with no labels of one kind every score
@@ -59,18 +59,17 @@ def present(raw: np.ndarray, off: np.ndarray, keep: np.ndarray | None) -> tuple[
     return both >> SPACE_BITS, both & ((1 << SPACE_BITS) - 1)
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 150, ridge: float = 0.02) -> dict | None:
+def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 100, ridge: float = 0.02) -> dict | None:
     """A model, or None if one label is missing."""
     if len(set(y.tolist())) < 2:
         return None
     dims = 1 << SPACE_BITS
     count = np.ones((2, dims))
-    store = []
-    for a in range(0, len(texts), 200):
-        text, f = present(*utf8(pa.array(texts[a : a + 200], pa.large_string())), None)
+    parts = [(a, pa.array(texts[a : a + 100], pa.large_string())) for a in range(0, len(texts), 100)]
+    for a, part in parts:
+        text, f = present(*utf8(part), None)
         for label in (0, 1):
             count[label] += np.bincount(f[y[a + text] == label], minlength=dims)
-        store.append(((a + text).astype(np.int32), f.astype(np.int32)))
     rows = np.array([max(1, (y == label).sum()) for label in (0, 1)], float)
     rate = count / (rows[:, None] + 2)
     ratio = np.log(rate[1] / rate[0])
@@ -82,10 +81,11 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 150, ridge:
     keep[np.argsort(-z, kind="stable")[:KEPT]] = True
     keep &= z > 1.5
     spot = np.cumsum(keep) - 1
-    row, col = (np.concatenate(x) for x in zip(*((t[keep[f]], spot[f[keep[f]]]) for t, f in store), strict=True))
-    del store
+    found = [(a + text, spot[f]) for a, part in parts for text, f in [present(*utf8(part), keep)]]  # only what is kept is held
+    row, col = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
+    del found
     scale = ratio[keep]
-    m, values = len(y), scale[col]
+    m, values = len(y), scale[col].astype(np.float32)
     w, b = np.zeros(len(scale)), 0.0
     weight = np.where(y == 1, 0.5 / rows[1], 0.5 / rows[0])
     # Nesterov steps on the mean loss, each class with half the weight; the step length follows the loss's curvature
@@ -116,7 +116,7 @@ def scores(model: dict | None, share: float, col: pa.Array) -> np.ndarray:
     return sigmoid(model["b"] + np.bincount(text, w[f], len(col)))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, per_class: int = 4000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
     texts, y, share = sample(docs, labels, label, per_class)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, share))
