@@ -64,6 +64,16 @@ def parts_for(df: DataFrame, mb: float, least: int = 1) -> int:
     return max(least, math.ceil(plan_bytes(df) / (mb * 1e6)))
 
 
+#: rows up to which a narrow table is broadcast (some tens of MB)
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows (``rows`` if that many are known to count), and
+    without one, so that a join shuffles, beyond that."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (id, component_id), component_id the smallest id reachable.
 
