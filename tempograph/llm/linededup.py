@@ -20,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.base import Scratch
+from tempograph.llm.base import Scratch, if_small
 
 CELL_BITS = 17
-#: rows up to which a list of documents or of removed lines is broadcast; beyond, it is joined by shuffling
-BROADCAST_ROWS = 1_000_000
 _BLANK = "\t\x0b\x0c\r"
 
 
@@ -77,7 +75,7 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[Data
     def sets_for(pairs: DataFrame) -> DataFrame:
         wanted = scratch.save(pairs.select("key").union(pairs.select("key2")).distinct().join(classes.select("key", "d", "l"), "key"), "wanted")
         where = wanted.groupBy("d").agg(F.collect_set("l").alias("ls"))
-        where = F.broadcast(where) if wanted.count() <= BROADCAST_ROWS else where
+        where = if_small(where, wanted.count())
         own = docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
         own = own.withColumn("w", ordered(word_hashes(F.col("line")), bytes(rarity))).withColumn("key", F.xxhash64("w"))
         return scratch.save(own.select("key", "w").dropDuplicates(["key"]), "sets")
@@ -105,7 +103,7 @@ def without_repeats(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     goes with its row; a text that had none before stays."""
     _, out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
     gone = out.groupBy("d").agg(F.collect_set("l").alias("_gone")).withColumnRenamed("d", "_doc")
-    gone = F.broadcast(gone) if out.count() <= BROADCAST_ROWS else gone
+    gone = if_small(gone, out.count())
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
     joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").withColumn("text", text)
