@@ -113,9 +113,9 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k:
 ORACLE = """
 WITH c AS (SELECT vec_id AS id, embedding AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NULL OR isnan(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
      d AS (SELECT q.id AS query_id, r.id AS neighbour_id,
-                  CAST(len(list_filter(list_zip(q.v, r.v), x -> (x[1] > 0) <> (x[2] > 0))) AS INTEGER) AS distance
+                  CAST(len(list_filter(list_zip(q.v, r.v), lambda x: (x[1] > 0) <> (x[2] > 0))) AS INTEGER) AS distance
            FROM c q JOIN c r ON q.id <> r.id AND len(q.v) = len(r.v) WHERE q.id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d) WHERE rank <= 10
