@@ -10,14 +10,15 @@ Each class first meets only the earliest class under each of its words; only cla
 earlier ones.  So a group of thousands of variants of a line, most of them like its first one, doesn't make all pairs.
 
 Defined results: lines without words are never removed; null texts stay null, empty ones empty; a text that loses all its
-words goes with its row; rows with the same doc_id share positions and so keep or lose the same lines; rows with a null doc_id
+words goes with its row; rows with the same doc_id share positions and so keep or lose the same
+lines (where their texts differ, one of them is compared); rows with a null doc_id
 are left as they are and match nothing; an empty table gives no rows; further columns stay as they are.  Ties can't arise, as
 places differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm.base import Scratch, if_small
@@ -44,64 +45,71 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").alias("d"), F.posexplode(F.split("text", "\n")).alias("l", "line")).where(F.length(F.trim("line")) > 0)
 
 
-def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(lines: d, l, key, n of every line with words; removed: key, d0, l0: classes with the line before that they match)."""
-    spark = docs.sparkSession
+def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """d, l, d0, l0: the lines to be removed, each with the earliest line found that it matches."""
     cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"xxhash64(w) & {(1 << CELL_BITS) - 1}").alias("c"))
     rarity = bytearray([33] * (1 << CELL_BITS))  # printable, so that a cell is a character
-    for c, n in cells.groupBy("c").count().select(F.col("c").cast("int"), F.ceil(F.log2("count")).cast("int")).collect():  # at most CELLS rows
+    for c, n in cells.groupBy("c").count().select(F.col("c").cast("int"), F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
         rarity[c] = 33 + min(n, 30)
     lines = lines_of(docs).withColumn("w", ordered(word_hashes(F.col("line")), bytes(rarity)))
     lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w")}).where("n > 0")
-    # of fewer words than num / (den - num) no two different sets are similar enough
-    prefix = F.slice("w", 1, F.greatest(F.lit(1), F.expr(f"n - cast(ceil(n * {num} / {den}) as int) + 1")))
-    kept = scratch.save(lines.select("d", "l", "key", "n", F.when(F.col("n") * (den - num) >= num, prefix).otherwise(F.array().cast("array<long>")).alias("p")), "lines")
-    classes = scratch.save(kept.groupBy("key").agg(F.min(F.struct("d", "l", "n", "p")).alias("at")).select("key", "at.*"), "classes")
-    posts = classes.select("key", "d", "l", "n", F.posexplode("p").alias("i", "t"))
-    meets = posts.groupBy("t").agg(F.count("*").alias("g"), F.min(F.struct("d", "l", "key", "n", "i")).alias("lead")).where("g > 1")
-    posts = scratch.save(posts.hint("merge").join(meets, "t"), "posts")
+    # of fewer words than num / (den - num) no two different sets are similar enough; 32 bits of a word's hash are enough to meet
+    prefix = F.transform(F.slice("w", F.lit(1), F.expr(f"n - cast(ceil(n * {num} / {den}) as int) + 1")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    lines = scratch.save(lines.select("d", "l", "key", "n", F.when(F.col("n") * (den - num) >= num, prefix).alias("p")), "lines")
+
+    # the first of the lines with the same set stands for them
+    repeated = lines.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
+    repeated = scratch.save(repeated.select("key", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
+    few = if_small(repeated)
+    firsts = lines.where("p is not null").join(few, "key", "left").where("d0 is null or (d = d0 and l = l0)")
+    posts = firsts.select("d", "l", "n", F.posexplode("p").alias("i", "t")).repartition("t")
+    word = Window.partitionBy("t")
+    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i")).over(word)}).where("g > 1")
+    posts = scratch.save(posts, "posts")
 
     def filtered(df: DataFrame) -> DataFrame:
-        """x is the later line, y the earlier one; i and j are their places of the shared word."""
+        """(d, l) is the later line, (d2, l2) the earlier one; i and i2 are their places of the shared word."""
         need = f"cast(ceil({num} * (n + n2) / {num + den}) as int)"
-        return df.where(f"(d2 < d or d2 = d and l2 < l) and key <> key2 and {den} * least(n, n2) >= {num} * greatest(n, n2) and least(i, i2) + least(n - i, n2 - i2) >= {need}").select("key", "key2", "d2", "l2").distinct()
+        size = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
+        return df.where(f"(d2 < d or d2 = d and l2 < l) and {size} and least(i, i2) + least(n - i, n2 - i2) >= {need}").select("d", "l", "d2", "l2").distinct()
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = sets.select("key", F.col("w").alias("a")), sets.select(F.col("key").alias("key2"), F.col("w").alias("b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.save(pairs.select("d", "l").union(pairs.select("d2", "l2")).distinct(), "wanted")
+        where = if_small(wanted.groupBy("d").agg(F.collect_set("l").alias("ls")), wanted.count())
+        own = docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
+        own = own.withColumn("w", word_hashes(F.col("line"))).groupBy("d", "l").agg(F.max("w").alias("w"))  # rows that share doc_id: one of them
+        sets = scratch.save(own, "sets")
+        a, b = sets.withColumnRenamed("w", "a"), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("w").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
-        found = pairs.join(a, "key").join(b, "key2").where(den * both >= num * (F.size("a") + F.size("b") - both))
-        return found.groupBy("key").agg(F.min(F.struct("d2", "l2")).alias("at")).select("key", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0"))
+        found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(den * both >= num * (F.size("a") + F.size("b") - both))
+        return found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0"))
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        wanted = scratch.save(pairs.select("key").union(pairs.select("key2")).distinct().join(classes.select("key", "d", "l"), "key"), "wanted")
-        where = wanted.groupBy("d").agg(F.collect_set("l").alias("ls"))
-        where = if_small(where, wanted.count())
-        own = docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
-        own = own.withColumn("w", ordered(word_hashes(F.col("line")), bytes(rarity))).withColumn("key", F.xxhash64("w"))
-        return scratch.save(own.select("key", "w").dropDuplicates(["key"]), "sets")
+    star = posts.select("d", "l", "n", "i", *(F.col(f"lead.{c}").alias(c + "2") for c in ("d", "l", "n", "i")))
+    done = scratch.save(verified(scratch.save(filtered(star), "star")), "matched")
+    open_ = posts.where("g > 2").join(done.select("d", "l"), ["d", "l"], "left_anti").select("t", "d", "l", "n", "i")
+    others = posts.where("g > 2 and (d <> lead.d or l <> lead.l)").select("t", *(F.col(c).alias(c + "2") for c in ("d", "l", "n", "i")))
+    more = verified(scratch.save(filtered(open_.hint("merge").join(others, "t")), "rest"))
+    near = scratch.save(done.unionByName(more), "near")
 
-    star = posts.select("key", "d", "l", "n", "i", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.key").alias("key2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"))
-    star = scratch.save(filtered(star), "star")
-    done = scratch.save(verified(star, sets_for(star)), "matched")
-    open_ = posts.where("g > 2").join(done.select("key"), "key", "left_anti").select("t", "key", "d", "l", "n", "i")
-    others = posts.where("g > 2 and key <> lead.key").select("t", *(F.col(c).alias(c + "2") for c in ("key", "d", "l", "n", "i")))
-    rest = scratch.save(filtered(open_.hint("merge").join(others, "t")), "rest")
-    more = verified(rest, sets_for(rest))
-    same = kept.join(classes.select("key", F.col("d").alias("d0"), F.col("l").alias("l0")), "key").where("d0 < d or d0 = d and l0 < l").select("d", "l", "d0", "l0")
-    near = kept.join(done.unionByName(more), "key").select("d", "l", "d0", "l0")
-    return kept, scratch.save(near.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*"), "removed")
+    # what holds for the first line of a set holds for all lines with it
+    slim = lines.select("d", "l", "key")
+    keys = slim.join(if_small(near), ["d", "l"]).select("key", "d0", "l0")
+    near = slim.join(if_small(keys, near.count()), "key").select("d", "l", "d0", "l0")
+    same = slim.join(few, "key").where("d0 < d or d0 = d and l0 < l").select("d", "l", "d0", "l0")
+    out = near.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*")
+    return scratch.save(out, "removed")
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, line, match_doc_id, match_line of every line to be removed, with the earliest line found that it matches."""
-    _, out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
+    out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
     return out.select(F.col("d").alias("doc_id"), F.col("l").alias("line"), F.col("d0").alias("match_doc_id"), F.col("l0").alias("match_line"))
 
 
 def without_repeats(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, all columns as they were.  A text of which no words are left
     goes with its row; a text that had none before stays."""
-    _, out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
+    out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
     gone = out.groupBy("d").agg(F.collect_set("l").alias("_gone")).withColumnRenamed("d", "_doc")
     gone = if_small(gone, out.count())
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
