@@ -2,18 +2,21 @@
 
 A line is the set of its words (64-bit hashes).  Lines with the same set are one class, placed at its first occurrence by
 (doc_id, line).  Words are ordered by rarity: by the logarithm of the count in their cell of a hashed count over the
-whole corpus (``CELLS`` cells, which bounds what the plan carries), then by hash; any such order gives the same result.  A
-class is posted under each word of its prefix, pairs that meet pass length and positional filters, and what is left is
-verified on the whole sets.  A line is removed if an earlier line has a similarity of num / den or more, or the same set.
+whole corpus (``CELL_BITS`` bounds what the plan carries), then by hash; any such order gives the same result.
 
-Each class first meets only the earliest class under each of its words; only classes that found no match there meet all the
-earlier ones.  So a group of thousands of variants of a line, most of them like its first one, doesn't make all pairs.
+What is posted are pairs of neighbours in that order, not single words: a line's rarest words are no longer rare in a large corpus,
+and lists of single words grow with its square, but neighbours are rare unless the lines are alike.  Sets of n and m words with
+o in common share at least 3 o - n - m - 1 neighbour pairs, hence a prefix of n - ceil(n (2 num - den) / den) + 1 pairs
+is enough.  Pairs of classes that meet pass length and positional filters, and what is left is verified on the whole sets.  A line is
+removed if an earlier line has a similarity of num / den or more, or the same set.
+
+Each class first meets only the earliest class under each of its pairs of words; only classes that found no match there meet
+all the earlier ones.  So a group of thousands of variants of a line, most of them like its first one, doesn't make all pairs.
 
 Defined results: lines without words are never removed; null texts stay null, empty ones empty; a text that loses all its
 words goes with its row; rows with the same doc_id share positions and so keep or lose the same
-lines (where their texts differ, one of them is compared); rows with a null doc_id
-are left as they are and match nothing; an empty table gives no rows; further columns stay as they are.  Ties can't arise, as
-places differ.
+lines (where their texts differ, one of them is compared); rows with a null doc_id are left as they are and match nothing; an
+empty table gives no rows; further columns stay as they are.  Ties can't arise, as places differ.
 """
 
 from __future__ import annotations
@@ -23,22 +26,29 @@ from pyspark.sql import functions as F
 
 from tempograph.llm.base import Scratch, if_small
 
-CELL_BITS = 17
+CELL_BITS = 14
 _BLANK = "\t\x0b\x0c\r"
 
 
 def word_hashes(line: Column) -> Column:
     """Distinct hashes of a line's words."""
-    parts = F.split(F.translate(line, _BLANK, " " * len(_BLANK)), " ")
+    odd = F.lit(False)
+    for c in _BLANK:
+        odd = odd | F.contains(line, F.lit(c))
+    parts = F.split(F.when(odd, F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
     return F.array_remove(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))), F.expr("xxhash64('')"))
 
 
-def ordered(words: Column, rarity: bytes) -> Column:
+def ordered(words: Column, rarity: list[int]) -> Column:
     """The hashes in the global order: 6 bits of the cell's logarithmic count before 57 bits of the hash."""
-    table = F.lit(bytearray(rarity))
-    cell = lambda h: h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int") + 1
-    key = lambda h: F.shiftleft(F.ascii(F.substring(table, cell(h), F.lit(1)).cast("string")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.array_sort(F.transform(words, key))
+    table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<long>")  # a constant, folded once
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    return F.sort_array(F.transform(words, key))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column whose expression isn't copied into what uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -47,28 +57,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """d, l, d0, l0: the lines to be removed, each with the earliest line found that it matches."""
-    cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"xxhash64(w) & {(1 << CELL_BITS) - 1}").alias("c"))
-    rarity = bytearray([33] * (1 << CELL_BITS))  # printable, so that a cell is a character
-    for c, n in cells.groupBy("c").count().select(F.col("c").cast("int"), F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
-        rarity[c] = 33 + min(n, 30)
-    lines = lines_of(docs).withColumn("w", ordered(word_hashes(F.col("line")), bytes(rarity)))
+    cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
+    rarity = [0] * (1 << CELL_BITS)
+    for c, n in cells.groupBy("c").count().select("c", F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
+        rarity[c] = min(n, 62) + 1
+    lines = once(lines_of(docs), "w", ordered(word_hashes(F.col("line")), rarity)).drop("line")
     lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w")}).where("n > 0")
-    # of fewer words than num / (den - num) no two different sets are similar enough; 32 bits of a word's hash are enough to meet
-    prefix = F.transform(F.slice("w", F.lit(1), F.expr(f"n - cast(ceil(n * {num} / {den}) as int) + 1")), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    lines = scratch.save(lines.select("d", "l", "key", "n", F.when(F.col("n") * (den - num) >= num, prefix).alias("p")), "lines")
+    # of fewer words than num / (den - num) no two different sets are similar enough; 48 bits of a pair's hash are enough to meet
+    many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
+    pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
+    lines = scratch.save(lines.select("d", "l", "key", "n", F.when(F.col("n") * (den - num) >= num, pairs).alias("p")), "lines")
 
     # the first of the lines with the same set stands for them
     repeated = lines.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
     repeated = scratch.save(repeated.select("key", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
     few = if_small(repeated)
     firsts = lines.where("p is not null").join(few, "key", "left").where("d0 is null or (d = d0 and l = l0)")
-    posts = firsts.select("d", "l", "n", F.posexplode("p").alias("i", "t")).repartition("t")
+    firsts = firsts.select("d", "l", "n", "p")
+    seen = firsts.select("d", "l", F.explode("p").alias("t")).repartition("t").withColumn("g", F.count("*").over(Window.partitionBy("t"))).where("g > 1")
+    seen = scratch.save(seen.select("d", "l").distinct(), "seen")
+    posts = firsts.join(if_small(seen), ["d", "l"], "left_semi").select("d", "l", "n", F.posexplode("p").alias("i", "t")).repartition("t")
     word = Window.partitionBy("t")
     posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i")).over(word)}).where("g > 1")
     posts = scratch.save(posts, "posts")
 
     def filtered(df: DataFrame) -> DataFrame:
-        """(d, l) is the later line, (d2, l2) the earlier one; i and i2 are their places of the shared word."""
+        """(d, l) is the later line, (d2, l2) the earlier one; i and i2 are their places of the shared pair of words."""
         need = f"cast(ceil({num} * (n + n2) / {num + den}) as int)"
         size = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
         return df.where(f"(d2 < d or d2 = d and l2 < l) and {size} and least(i, i2) + least(n - i, n2 - i2) >= {need}").select("d", "l", "d2", "l2").distinct()
