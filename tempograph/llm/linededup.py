@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tempograph.llm.base import Scratch, if_small
 
-CELL_BITS = 14
+CELL_BITS = 17
 _BLANK = "\t\x0b\x0c\r"
 
 
@@ -66,26 +66,27 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     # of fewer words than num / (den - num) no two different sets are similar enough; 48 bits of a pair's hash are enough to meet
     many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
     pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
-    lines = scratch.save(lines.select("d", "l", "key", "n", F.when(F.col("n") * (den - num) >= num, pairs).alias("p")), "lines")
+    # one bit for each word's parity in 32: unlike sets differ in about half of them
+    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(31)).cast("int"))))
+    lines = scratch.save(lines.select("d", "l", "key", "n", *(F.when(F.col("n") * (den - num) >= num, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
 
     # the first of the lines with the same set stands for them
     repeated = lines.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
     repeated = scratch.save(repeated.select("key", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
     few = if_small(repeated)
     firsts = lines.where("p is not null").join(few, "key", "left").where("d0 is null or (d = d0 and l = l0)")
-    firsts = firsts.select("d", "l", "n", "p")
-    seen = firsts.select("d", "l", F.explode("p").alias("t")).repartition("t").withColumn("g", F.count("*").over(Window.partitionBy("t"))).where("g > 1")
-    seen = scratch.save(seen.select("d", "l").distinct(), "seen")
-    posts = firsts.join(if_small(seen), ["d", "l"], "left_semi").select("d", "l", "n", F.posexplode("p").alias("i", "t")).repartition("t")
+    def close(a: list[str], b: list[str]) -> str:
+        """Filters by lengths, by places of the shared pair of words, and by signs, which differ in no more bits than the sets do in words."""
+        (n, i, s), (n2, i2, s2) = a, b
+        need = f"cast(ceil({num} * ({n} + {n2}) / {num + den}) as int)"
+        return f"{den} * least({n}, {n2}) >= {num} * greatest({n}, {n2}) and least({i}, {i2}) + least({n} - {i}, {n2} - {i2}) >= {need} and bit_count({s} ^ {s2}) <= {n} + {n2} - 2 * {need}"
+
+    # what lines meet under a pair of words: the earliest of them, and how many there are
+    posts = firsts.select("d", "l", "n", "b", F.posexplode("p").alias("i", "t")).repartition("t")
     word = Window.partitionBy("t")
-    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i")).over(word)}).where("g > 1")
-    posts = scratch.save(posts, "posts")
-
-    def filtered(df: DataFrame) -> DataFrame:
-        """(d, l) is the later line, (d2, l2) the earlier one; i and i2 are their places of the shared pair of words."""
-        need = f"cast(ceil({num} * (n + n2) / {num + den}) as int)"
-        size = f"{den} * least(n, n2) >= {num} * greatest(n, n2)"
-        return df.where(f"(d2 < d or d2 = d and l2 < l) and {size} and least(i, i2) + least(n - i, n2 - i2) >= {need}").select("d", "l", "d2", "l2").distinct()
+    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)}).where("g > 1")
+    posts = posts.withColumn("near", F.expr(f"(lead.d < d or lead.d = d and lead.l < l) and {close(['n', 'i', 'b'], ['lead.n', 'lead.i', 'lead.b'])}"))
+    posts = scratch.save(posts.where("near or g > 2").select("t", "d", "l", "n", "i", "b", "g", "near", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2")), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = scratch.save(pairs.select("d", "l").union(pairs.select("d2", "l2")).distinct(), "wanted")
@@ -98,11 +99,12 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
         found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(den * both >= num * (F.size("a") + F.size("b") - both))
         return found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0"))
 
-    star = posts.select("d", "l", "n", "i", *(F.col(f"lead.{c}").alias(c + "2") for c in ("d", "l", "n", "i")))
-    done = scratch.save(verified(scratch.save(filtered(star), "star")), "matched")
-    open_ = posts.where("g > 2").join(done.select("d", "l"), ["d", "l"], "left_anti").select("t", "d", "l", "n", "i")
-    others = posts.where("g > 2 and (d <> lead.d or l <> lead.l)").select("t", *(F.col(c).alias(c + "2") for c in ("d", "l", "n", "i")))
-    more = verified(scratch.save(filtered(open_.hint("merge").join(others, "t")), "rest"))
+    done = scratch.save(verified(scratch.save(posts.where("near").select("d", "l", "d2", "l2").distinct(), "star")), "matched")
+    group = posts.where("g > 2").select("t", "d", "l", "n", "i", "b")
+    open_ = group.join(if_small(done.select("d", "l")), ["d", "l"], "left_anti")
+    others = group.select("t", *(F.col(c).alias(c + "2") for c in ("d", "l", "n", "i", "b")))
+    rest = open_.hint("merge").join(others, "t").where(f"(d2 < d or d2 = d and l2 < l) and {close(['n', 'i', 'b'], ['n2', 'i2', 'b2'])}").select("d", "l", "d2", "l2").distinct()
+    more = verified(scratch.save(rest, "rest"))
     near = scratch.save(done.unionByName(more), "near")
 
     # what holds for the first line of a set holds for all lines with it
@@ -126,7 +128,9 @@ def without_repeats(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
     gone = out.groupBy("d").agg(F.collect_set("l").alias("_gone")).withColumnRenamed("d", "_doc")
     gone = if_small(gone, out.count())
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").withColumn("text", text)
-    return joined.where(F.col("_gone").isNull() | (F.size(word_hashes(F.translate("text", "\n", " "))) > 0)).select(docs.columns)
+    # the row travels as one struct, so that no column's name can clash
+    rows = docs.select(F.struct("*").alias("_row")).join(gone, F.col("_row.doc_id") == F.col("_doc"), "left")
+    left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left))
+    rows = rows.where(F.col("_gone").isNull() | (F.size(word_hashes(F.translate("_text", "\n", " "))) > 0))
+    return rows.select(*(F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
