@@ -102,7 +102,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         total = np.zeros(len(h), np.uint64)
         for j in range(k):
-            total[: len(h) - j] += h[j:] * _LANE[j]
+            total[: max(0, len(h) - j)] += h[j:] * _LANE[j]
         runs = mix(total + np.uint64(k))
         count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
         at = np.concatenate([[0], np.cumsum(count)])
