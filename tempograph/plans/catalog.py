@@ -179,9 +179,9 @@ def sample_points(s: Source) -> DataFrame:
 # ---------------------------------------------------------------- projections and filters
 
 
-@query("SELECT row_seq, session_id, round((x - 0.1) / 0.8, 6) AS nx, round((y - 0.1) / 0.8, 6) AS ny FROM @cursor_sparse c")
+@query("SELECT row_seq, session_id, round((x - 0.1) / 0.8, 9) AS nx, round((y - 0.1) / 0.8, 9) AS ny FROM @cursor_sparse c")
 def normalize_xy(s: Source) -> DataFrame:
-    return s.cursor_sparse.select("row_seq", "session_id", F.round((F.col("x") - 0.1) / 0.8, 6).alias("nx"), F.round((F.col("y") - 0.1) / 0.8, 6).alias("ny"))
+    return s.cursor_sparse.select("row_seq", "session_id", F.round((F.col("x") - 0.1) / 0.8, 9).alias("nx"), F.round((F.col("y") - 0.1) / 0.8, 9).alias("ny"))
 
 
 @query("SELECT row_seq, x, y FROM @cursor_sparse c WHERE event = 'click' AND NOT (x < 0.05 OR x > 0.8 OR y < 0.05 OR y > 0.8)")
@@ -318,18 +318,18 @@ def sync_method(s: Source) -> DataFrame:
 _SPANS = "(SELECT DISTINCT user_id % 8 AS session_id, t_us AS s, t_us + 3000000 AS e FROM @ev v WHERE event_type = 'purchase')"
 
 
-@query(f"""SELECT i.session_id, i.s, i.e, round(coalesce(avg(m.x), 0.5), 6) AS cx, round(coalesce(avg(m.y), 0.5), 6) AS cy FROM {_SPANS} i
+@query(f"""SELECT i.session_id, i.s, i.e, round(coalesce(avg(m.x), 0.5), 9) AS cx, round(coalesce(avg(m.y), 0.5), 9) AS cy FROM {_SPANS} i
 LEFT JOIN (SELECT * FROM @cursor_dense c WHERE event = 'move') m ON m.session_id = i.session_id AND m.t_us BETWEEN i.s AND i.e GROUP BY i.session_id, i.s, i.e""")
 def centroid_in_interval(s: Source) -> DataFrame:
     i = s.ev.where("event_type = 'purchase'").selectExpr("user_id % 8 as session_id", "t_us as s", "t_us + 3000000 as e").distinct()
-    return joins.centroid_in(i, s.cursor_dense.where("event = 'move'")).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return joins.centroid_in(i, s.cursor_dense.where("event = 'move'")).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
-@query("""SELECT i.session_id, i.s, i.e, round(coalesce(least(1.0, avg(m.x) * 1.5), 0.5), 6) AS cx, round(coalesce(least(1.0, avg(m.y) * 1.5), 0.5), 6) AS cy FROM @layout i
+@query("""SELECT i.session_id, i.s, i.e, round(coalesce(least(1.0, avg(m.x) * 1.5), 0.5), 9) AS cx, round(coalesce(least(1.0, avg(m.y) * 1.5), 0.5), 9) AS cy FROM @layout i
 LEFT JOIN (SELECT session_id, t_us + 1000000 AS t, x, y FROM @cursor_sparse c WHERE event = 'move') m ON m.session_id = i.session_id AND m.t BETWEEN i.s AND i.e GROUP BY i.session_id, i.s, i.e""")
 def scene_centroid(s: Source) -> DataFrame:
     moves = s.cursor_sparse.where("event = 'move'").selectExpr("session_id", "t_us + 1000000 as t_us", "x * 1.5 as x", "y * 1.5 as y")
-    return joins.centroid_in(s.layout.select("session_id", "s", "e"), moves, clamp=True).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return joins.centroid_in(s.layout.select("session_id", "s", "e"), moves, clamp=True).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 _NEAREST = """(SELECT h.session_id, h.hint_id, h.s, m.t_us AS mt, m.x, m.y, row_number() OVER (PARTITION BY h.hint_id ORDER BY abs(m.t_us - h.s), m.t_us, m.row_seq) AS r
@@ -357,9 +357,9 @@ def zoom_priority_merge(s: Source) -> DataFrame:
 
 @query("""WITH d AS (SELECT c.point_id, b.box_seq, (b.x + b.w / 2) AS bx, (b.y + b.h / 2) AS by_, sqrt(power(c.cx * 1920 - (b.x + b.w / 2), 2) + power(c.cy * 1080 - (b.y + b.h / 2), 2)) AS d FROM @centres c JOIN @boxes b ON b.session_id = c.session_id AND b.second = c.second),
  n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, box_seq) AS r FROM d)
-SELECT c.session_id, c.point_id, c.second, round(CASE WHEN n.d <= 150 THEN n.bx / 1920 ELSE c.cx END, 6) AS cx, round(CASE WHEN n.d <= 150 THEN n.by_ / 1080 ELSE c.cy END, 6) AS cy FROM @centres c LEFT JOIN n ON n.point_id = c.point_id AND n.r = 1""")
+SELECT c.session_id, c.point_id, c.second, round(CASE WHEN n.d <= 150 THEN n.bx / 1920 ELSE c.cx END, 9) AS cx, round(CASE WHEN n.d <= 150 THEN n.by_ / 1080 ELSE c.cy END, 9) AS cy FROM @centres c LEFT JOIN n ON n.point_id = c.point_id AND n.r = 1""")
 def snap_nearest(s: Source) -> DataFrame:
-    return joins.snap_nearest(s.centres, s.boxes, 1920, 1080).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return joins.snap_nearest(s.centres, s.boxes, 1920, 1080).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 @query("""WITH c AS (SELECT session_id, hint_id AS crop_seq, s, e, CAST(hint_id % 10 AS DOUBLE) / 10 AS cx, CAST(hint_id % 7 AS DOUBLE) / 7 AS cy FROM @hints h),
@@ -415,9 +415,9 @@ def click_intervals(s: Source) -> DataFrame:
     return folds.click_intervals(folds.click_groups(_clicks(s), s.limits), s.limits)
 
 
-@query("SELECT session_id, event, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n FROM @cursor_sparse c GROUP BY session_id, event")
+@query("SELECT session_id, event, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, count(*) AS n FROM @cursor_sparse c GROUP BY session_id, event")
 def mean_centroid(s: Source) -> DataFrame:
-    return s.cursor_sparse.groupBy("session_id", "event").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.count("*").alias("n"))
+    return s.cursor_sparse.groupBy("session_id", "event").agg(F.round(F.avg("x"), 9).alias("cx"), F.round(F.avg("y"), 9).alias("cy"), F.count("*").alias("n"))
 
 
 @query("""WITH b AS (SELECT user_id AS session_id, t_us, value AS x, CAST(k AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id, k % 4 ORDER BY value * k DESC, event_id) AS r FROM @ev v),
@@ -440,9 +440,9 @@ def peak_pick(s: Source) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT session_id, arg_max(idx, rise * 1000000 - idx) AS i FROM """ + _RISE + """ d GROUP BY session_id HAVING count(*) >= 10 AND max(rise) >= 25)
-SELECT p.session_id, round(tanh(greatest(0, max(v) - min(v)) / 80), 6) AS confidence FROM p JOIN @samples s ON s.session_id = p.session_id AND s.idx >= greatest(p.i - 2, 0) AND s.idx <= greatest(p.i - 2, 0) + 4 GROUP BY p.session_id""")
+SELECT p.session_id, round(tanh(greatest(0, max(v) - min(v)) / 80), 9) AS confidence FROM p JOIN @samples s ON s.session_id = p.session_id AND s.idx >= greatest(p.i - 2, 0) AND s.idx <= greatest(p.i - 2, 0) + 4 GROUP BY p.session_id""")
 def flash_confidence(s: Source) -> DataFrame:
-    return series.flash_confidence(s.samples, series.peak(s.samples, 25.0)).withColumn("confidence", F.round("confidence", 6))
+    return series.flash_confidence(s.samples, series.peak(s.samples, 25.0)).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""WITH l AS (SELECT session_id, greatest(0.05, 25 * median(abs(v / 500 - 0.5) / 40)) AS lim FROM @samples s GROUP BY session_id),
@@ -463,10 +463,10 @@ def words_to_sentences(s: Source) -> DataFrame:
     return series.sentences(words_of(s))
 
 
-@query("""SELECT session_id, round(least(1, greatest(0, ((max(v) - median(v)) / (stddev_pop(v) + 1e-6)) / 5)), 6) AS energy FROM @samples s GROUP BY session_id""")
+@query("""SELECT session_id, round(least(1, greatest(0, ((max(v) - median(v)) / (stddev_pop(v) + 1e-6)) / 5)), 9) AS energy FROM @samples s GROUP BY session_id""")
 def energy_score(s: Source) -> DataFrame:
     raw = (F.max("v") - F.median("v")) / (F.stddev_pop("v") + 1e-6) / 5
-    return s.samples.groupBy("session_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 6).alias("energy"))
+    return s.samples.groupBy("session_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 9).alias("energy"))
 
 
 def _scored(s: Source) -> DataFrame:
@@ -483,25 +483,25 @@ _SCORED = """p0 AS (SELECT conv_id, text, CAST(length(text) AS DOUBLE) / 15 AS s
  p2 AS (SELECT *, round(CASE WHEN llm IS NULL THEN (0.20::DOUBLE * audio + 0.15::DOUBLE * punct + 0.05::DOUBLE + 0.10::DOUBLE * length) / 0.55::DOUBLE ELSE 0.45::DOUBLE * llm / 10 + 0.20::DOUBLE * audio + 0.15::DOUBLE * punct + 0.05::DOUBLE + 0.10::DOUBLE * length END, 9) AS score FROM p1)"""
 
 
-@query(f"WITH {_SCORED} SELECT conv_id, round(score, 6) AS score FROM p2")
+@query(f"WITH {_SCORED} SELECT conv_id, round(score, 9) AS score FROM p2")
 def composite_score(s: Source) -> DataFrame:
-    return _scored(s).select("conv_id", F.round("score", 6).alias("score"))
+    return _scored(s).select("conv_id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_SCORED} SELECT conv_id, round(punct, 6) AS punct FROM p2")
+@query(f"WITH {_SCORED} SELECT conv_id, round(punct, 9) AS punct FROM p2")
 def punctuation_density(s: Source) -> DataFrame:
-    return _scored(s).select("conv_id", F.round("punct", 6).alias("punct"))
+    return _scored(s).select("conv_id", F.round("punct", 9).alias("punct"))
 
 
-@query(f"WITH {_SCORED} SELECT conv_id, round(length, 6) AS length FROM p2")
+@query(f"WITH {_SCORED} SELECT conv_id, round(length, 9) AS length FROM p2")
 def length_preference(s: Source) -> DataFrame:
-    return _scored(s).select("conv_id", F.round("length", 6).alias("length"))
+    return _scored(s).select("conv_id", F.round("length", 9).alias("length"))
 
 
-@query(f"WITH {_SCORED} SELECT conv_id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY score DESC, conv_id) AS r FROM p2) q WHERE r <= 3")
+@query(f"WITH {_SCORED} SELECT conv_id, CAST(r AS INTEGER) AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY score DESC, conv_id) AS r FROM p2) q WHERE r <= 3")
 def topk_clips(s: Source) -> DataFrame:
     w = Window.partitionBy(F.col("conv_id") % 5).orderBy(F.desc("score"), "conv_id")
-    return _scored(s).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("conv_id", "rank", F.round("score", 6).alias("score"))
+    return _scored(s).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("conv_id", "rank", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT conv_id, CASE WHEN conv_id % 4 = 3 THEN 'screen_full' WHEN d >= 2 THEN 'split_vstack' WHEN h >= 1 AND d = 0 THEN 'cam_full' ELSE 'split_vstack' END AS layout FROM
@@ -534,25 +534,25 @@ _CHANGES = "(SELECT user_id AS session_id, t_us, value / 500 AS x, CAST(k AS DOU
 
 @query(f"""WITH e AS (SELECT *, lag(t_us) OVER (PARTITION BY session_id ORDER BY t_us) AS p FROM {_CHANGES} c),
  g AS (SELECT *, sum(CASE WHEN p IS NULL OR t_us - p > 800000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY t_us) AS i FROM e),
- a AS (SELECT session_id, greatest(min(t_us) - 200000, 0) AS s, least(max(t_us) + 600000, (SELECT duration FROM @durations d WHERE d.session_id = g.session_id)) AS e, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM g GROUP BY session_id, i)
+ a AS (SELECT session_id, greatest(min(t_us) - 200000, 0) AS s, least(max(t_us) + 600000, (SELECT duration FROM @durations d WHERE d.session_id = g.session_id)) AS e, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy FROM g GROUP BY session_id, i)
 SELECT session_id, CAST(0 AS INTEGER) AS win, s, least(e, s + 4000000) AS e, cx, cy FROM a WHERE e - s >= 600000""")
 def sessionize_events(s: Source) -> DataFrame:
     changes = s.ev.selectExpr("user_id as session_id", "t_us", "value / 500 as x", "cast(k as double) / 100 as y", "0 as win")
     windows = s.durations.selectExpr("session_id", "0 as win", "0L as ws", "duration as we")
-    return series.clusters(changes, windows, 2.0).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return series.clusters(changes, windows, 2.0).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 _PIXELS = "(SELECT user_id % 4 AS session_id, (row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1) // 64 AS frame, ((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1) % 64) % 8 AS px, ((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1) % 64) // 8 AS py, CAST(floor(value / 2) AS BIGINT) AS v FROM @ev q)"
 
 
 @query(f"""WITH f AS (SELECT * FROM {_PIXELS} p), d AS (SELECT b.session_id, b.frame, b.px, b.py, abs(a.v - b.v) >= 60 AS hit FROM f a JOIN f b ON a.session_id = b.session_id AND b.frame = a.frame + 1 AND a.px = b.px AND a.py = b.py)
-SELECT session_id, frame, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS part, round((min(px) FILTER (hit) + max(px) FILTER (hit))::DOUBLE / 2 / 8, 6) AS cx, round((min(py) FILTER (hit) + max(py) FILTER (hit))::DOUBLE / 2 / 8, 6) AS cy
+SELECT session_id, frame, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS part, round((min(px) FILTER (hit) + max(px) FILTER (hit))::DOUBLE / 2 / 8, 9) AS cx, round((min(py) FILTER (hit) + max(py) FILTER (hit))::DOUBLE / 2 / 8, 9) AS cy
 FROM d GROUP BY session_id, frame HAVING avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) >= 0.04""")
 def frame_change(s: Source) -> DataFrame:
     i = (F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")) - 1).cast("long")
     f = s.ev.withColumn("session_id", F.expr("user_id % 4")).withColumn("i", i)
     f = f.selectExpr("session_id", "i div 64 as frame", "(i % 64) % 8 as px", "(i % 64) div 8 as py", "cast(floor(value / 2) as bigint) as v")
-    return series.frame_change(f, step=60).withColumns({c: F.round(c, 6) for c in ("part", "cx", "cy")})
+    return series.frame_change(f, step=60).withColumns({c: F.round(c, 9) for c in ("part", "cx", "cy")})
 
 
 @query("""WITH o AS (SELECT c.*, lag(x) OVER w AS px, lag(y) OVER w AS py FROM @cursor_dense c JOIN @limits l ON l.session_id = c.session_id AND t_us < lim WHERE event = 'move' WINDOW w AS (PARTITION BY c.session_id ORDER BY t_us, row_seq)),
@@ -577,7 +577,7 @@ def zoom_segments(events: DataFrame, limits: DataFrame) -> DataFrame:
 
 @query()
 def generate_zoom_segments(s: Source) -> DataFrame:
-    return zoom_segments(s.cursor_dense, s.limits).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return zoom_segments(s.cursor_dense, s.limits).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 _UNIT = "u AS (SELECT vec_id // 100 AS session_id, vec_id % 100 AS idx, i AS dim, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i))"
@@ -588,27 +588,27 @@ def _gap_sql(k: int) -> str:
  g AS (SELECT session_id, idx - {k} AS gap, 1 - sum(l * r) / (sqrt(sum(l * l)) * sqrt(sum(r * r))) AS score FROM g0 WHERE idx >= {k} AND idx <= 100 - {k} GROUP BY session_id, idx)"""
 
 
-@query(f"WITH {_gap_sql(5)} SELECT session_id, gap, round(score, 6) AS score FROM g")
+@query(f"WITH {_gap_sql(5)} SELECT session_id, gap, round(score, 9) AS score FROM g")
 def gap_scores(s: Source) -> DataFrame:
-    return series.gap_scores(s.vectors.withColumn("v", F.col("v").cast("array<double>")), 5).withColumn("score", F.round("score", 6))
+    return series.gap_scores(s.vectors.withColumn("v", F.col("v").cast("array<double>")), 5).withColumn("score", F.round("score", 9))
 
 
 _SMOOTH = "sm AS (SELECT a.session_id, a.gap, (coalesce(b.score, 0) + a.score + coalesce(c.score, 0)) / 3 AS score FROM g a LEFT JOIN g b ON b.session_id = a.session_id AND b.gap = a.gap - 1 LEFT JOIN g c ON c.session_id = a.session_id AND c.gap = a.gap + 1)"
 
 
-@query(f"WITH {_gap_sql(5)}, {_SMOOTH} SELECT session_id, gap, round(score, 6) AS score FROM sm")
+@query(f"WITH {_gap_sql(5)}, {_SMOOTH} SELECT session_id, gap, round(score, 9) AS score FROM sm")
 def smooth3(s: Source) -> DataFrame:
     v = s.vectors.withColumn("v", F.col("v").cast("array<double>"))
-    return series.smooth3(series.gap_scores(v, 5)).withColumn("score", F.round("score", 6))
+    return series.smooth3(series.gap_scores(v, 5)).withColumn("score", F.round("score", 9))
 
 
 _DEPTH = "dp AS (SELECT a.session_id, a.gap, max(b.score) FILTER (b.gap <= a.gap) + max(b.score) FILTER (b.gap >= a.gap) - 2 * a.score AS depth FROM sm a JOIN sm b ON b.session_id = a.session_id GROUP BY a.session_id, a.gap, a.score)"
 
 
-@query(f"WITH {_gap_sql(5)}, {_SMOOTH}, {_DEPTH} SELECT session_id, gap, round(depth, 6) AS depth FROM dp")
+@query(f"WITH {_gap_sql(5)}, {_SMOOTH}, {_DEPTH} SELECT session_id, gap, round(depth, 9) AS depth FROM dp")
 def depth_scores(s: Source) -> DataFrame:
     v = s.vectors.withColumn("v", F.col("v").cast("array<double>"))
-    return series.depth_scores(series.smooth3(series.gap_scores(v, 5))).withColumn("depth", F.round("depth", 6))
+    return series.depth_scores(series.smooth3(series.gap_scores(v, 5))).withColumn("depth", F.round("depth", 9))
 
 
 @query(f"WITH {_gap_sql(5)}, {_SMOOTH}, {_DEPTH}, l AS (SELECT session_id, avg(depth) + 0.5 * stddev_pop(depth) AS lim FROM dp GROUP BY session_id) SELECT dp.session_id, gap + 5 AS idx FROM dp JOIN l ON l.session_id = dp.session_id WHERE depth >= lim")
@@ -668,13 +668,13 @@ def caption_lines(s: Source) -> DataFrame:
 @query()
 def one_euro(s: Source) -> DataFrame:
     scenes = s.layout.withColumns({"cx": (F.col("s") % 1000) / 1000.0, "cy": (F.col("e") % 1000) / 1000.0})
-    return folds.one_euro(scenes).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return folds.one_euro(scenes).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
-@query(f"SELECT session_id, CAST(idx AS INTEGER) AS idx, round(rise, 6) AS rise FROM {_RISE} d WHERE rise IS NOT NULL")
+@query(f"SELECT session_id, CAST(idx AS INTEGER) AS idx, round(rise, 9) AS rise FROM {_RISE} d WHERE rise IS NOT NULL")
 def frame_diff(s: Source) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("idx")
-    return s.samples.withColumn("rise", F.col("v") - F.lag("v").over(w)).where("rise is not null").select("session_id", "idx", F.round("rise", 6).alias("rise"))
+    return s.samples.withColumn("rise", F.col("v") - F.lag("v").over(w)).where("rise is not null").select("session_id", "idx", F.round("rise", 9).alias("rise"))
 
 
 # ---------------------------------------------------------------- sets, batches
@@ -698,15 +698,15 @@ def chunk_batches(s: Source) -> DataFrame:
 # ---------------------------------------------------------------- scalar functions
 
 
-@query("SELECT event_id, CAST(round_even(value * 29.97, 0) AS BIGINT) AS frame, round(CAST(round_even(value * 29.97, 0) AS BIGINT) / 29.97::DOUBLE, 6) AS seconds FROM events")
+@query("SELECT event_id, CAST(round_even(value * 29.97, 0) AS BIGINT) AS frame, round(CAST(round_even(value * 29.97, 0) AS BIGINT) / 29.97::DOUBLE, 9) AS seconds FROM events")
 def sec_to_frame(s: Source) -> DataFrame:
     f = T.sec_to_frame(F.col("value"), F.lit(29.97))
-    return s.table("events").select("event_id", f.alias("frame"), F.round(f / 29.97, 6).alias("seconds"))
+    return s.table("events").select("event_id", f.alias("frame"), F.round(f / 29.97, 9).alias("seconds"))
 
 
-@query("SELECT row_seq, round(sqrt(x * x + y * y), 6) AS d FROM @cursor_sparse c")
+@query("SELECT row_seq, round(sqrt(x * x + y * y), 9) AS d FROM @cursor_sparse c")
 def euclid(s: Source) -> DataFrame:
-    return s.cursor_sparse.select("row_seq", F.round(F.hypot("x", "y"), 6).alias("d"))
+    return s.cursor_sparse.select("row_seq", F.round(F.hypot("x", "y"), 9).alias("d"))
 
 
 @query("SELECT p_partkey, slug FROM (SELECT p_partkey, left(CASE WHEN t = '' THEN 'clip' ELSE t END, 40) AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(trim(concat('  ', p_name, ' #', p_type, '!!'))), '[^a-z0-9]+', '_', 'g'), '_') AS t FROM part) a) b")
@@ -759,10 +759,10 @@ def zoom_crop(s: Source) -> DataFrame:
     return s.zooms.select("session_id", "s", "zoom", T.zoom_crop(F.col("zoom"), F.col("cx"), F.col("cy"), 1920, 1080).alias("crop"))
 
 
-@query("""SELECT event_id, round(1 + (1.5::DOUBLE - 1) * least(3 * a * a - 2 * a * a * a, 3 * b * b - 2 * b * b * b), 6) AS z FROM
+@query("""SELECT event_id, round(1 + (1.5::DOUBLE - 1) * least(3 * a * a - 2 * a * a * a, 3 * b * b - 2 * b * b * b), 9) AS z FROM
  (SELECT event_id, greatest(0, least(1, t / 0.35::DOUBLE)) AS a, greatest(0, least(1, (2 - t) / 0.35::DOUBLE)) AS b FROM (SELECT event_id, value / 200 AS t FROM events) x) y""")
 def smoothstep_zoom(s: Source) -> DataFrame:
-    return s.table("events").select("event_id", F.round(T.smoothstep_zoom(F.col("value") / 200, F.lit(2.0), F.lit(1.5)), 6).alias("z"))
+    return s.table("events").select("event_id", F.round(T.smoothstep_zoom(F.col("value") / 200, F.lit(2.0), F.lit(1.5)), 9).alias("z"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '-tag:v hvc1' WHEN p_partkey % 3 = 1 THEN '-preset ultrafast' ELSE '' END AS flags FROM part")

@@ -148,12 +148,12 @@ def scan_face_absent(s: Source) -> DataFrame:
     return readers.spans(readers.parsed(_document(s.cuts, "absences"), "value", "face_absent"), "absences").select("session_id", "s", "e")
 
 
-@query("SELECT session_id, row_seq, t_us, round((x * 1920 - 10) / 1900, 6) AS x, round((y * 1080 - 5) / 1000, 6) AS y, event FROM @cursor_sparse c WHERE row_seq % 11 <> 0 AND (event <> 'click' OR (row_seq % 3 <> 0 AND x * 1920 BETWEEN 10 AND 1910 AND y * 1080 BETWEEN 5 AND 1005))")
+@query("SELECT session_id, row_seq, t_us, round((x * 1920 - 10) / 1900, 9) AS x, round((y * 1080 - 5) / 1000, 9) AS y, event FROM @cursor_sparse c WHERE row_seq % 11 <> 0 AND (event <> 'click' OR (row_seq % 3 <> 0 AND x * 1920 BETWEEN 10 AND 1910 AND y * 1080 BETWEEN 5 AND 1005))")
 def scan_cursor_csv(s: Source) -> DataFrame:
     c = s.cursor_sparse
     raw = c.select("session_id", "row_seq", F.when(F.col("row_seq") % 11 == 0, "bad").otherwise((F.col("t_us") / 1_000_000).cast("decimal(20,6)").cast("string")).alias("t_s"), (F.col("x") * 1920).cast("string").alias("x"), (F.col("y") * 1080).cast("string").alias("y"), "event", F.lit("left").alias("button"), F.when(F.col("row_seq") % 3 == 0, "0").otherwise("1").alias("down"))
     out = readers.normalize(raw, 1900.0, 1000.0, 10.0, 5.0)
-    return out.select("session_id", "row_seq", "t_us", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "event")
+    return out.select("session_id", "row_seq", "t_us", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "event")
 
 
 @query("SELECT session_id, t_us AS clap_us FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY row_seq) AS r FROM @cursor_sparse c WHERE event = 'clap') q WHERE r = 1")
@@ -207,14 +207,14 @@ def scroll_zoom_segments(s: Source) -> DataFrame:
     i = (F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")) - 1).cast("long")
     f = s.ev.withColumn("session_id", F.expr("user_id % 4")).withColumn("i", i).selectExpr("session_id", "i div 64 as frame", "(i % 64) % 8 as px", "(i % 64) div 8 as py", "cast(floor(value / 2) as bigint) as v")
     w = f.groupBy("session_id").agg(F.lit(0).alias("win"), F.lit(0).cast("long").alias("ws"), F.lit(60_000_000).cast("long").alias("we"))
-    return scroll_zooms(f, w, 2.0).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return scroll_zooms(f, w, 2.0).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 @query()
 def crop_windows(s: Source) -> DataFrame:
     """Cursor centres of scenes, smoothed over the scenes."""
     c = joins.centroid_in(s.layout.select("session_id", "s", "e"), s.cursor_sparse.where("event = 'move'"), clamp=True)
-    return folds.one_euro(c).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return folds.one_euro(c).withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 def rank_clips(clips: DataFrame, top: int, low: float = 30, high: float = 60) -> DataFrame:
@@ -225,10 +225,10 @@ def rank_clips(clips: DataFrame, top: int, low: float = 30, high: float = 60) ->
     return c.withColumn("layout", T.pick_layout(F.col("text"), F.lit(True)))
 
 
-@query(f"WITH {C._SCORED} SELECT conv_id AS clip_id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY score DESC, conv_id) AS r FROM p2 WHERE seconds BETWEEN 15 AND 150) q WHERE r <= 5")
+@query(f"WITH {C._SCORED} SELECT conv_id AS clip_id, CAST(r AS INTEGER) AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY score DESC, conv_id) AS r FROM p2 WHERE seconds BETWEEN 15 AND 150) q WHERE r <= 5")
 def shortform_plan(s: Source) -> DataFrame:
     c = s.chats.select(F.col("conv_id").alias("clip_id"), (F.col("conv_id") % 3).alias("session_id"), "text", (F.length("text") / 15).alias("seconds"), F.when(F.col("conv_id") % 3 > 0, (F.col("conv_id") % 11).cast("double")).alias("llm"), ((F.col("conv_id") % 7) / 7).alias("audio"))
-    return rank_clips(c, 5).select("clip_id", "rank", F.round("score", 6).alias("score"))
+    return rank_clips(c, 5).select("clip_id", "rank", F.round("score", 9).alias("score"))
 
 
 # ---------------------------------------------------------------- render manifest
