@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tempograph.llm.base import Scratch, if_small
 
 CELL_BITS = 17
+#: pairs of words (8 bytes each) up to which their list is broadcast; beyond, it is joined by shuffling
+BROADCAST_WORDS = 4_000_000
 _BLANK = "\t\x0b\x0c\r"
 
 
@@ -66,8 +68,8 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     # of fewer words than num / (den - num) no two different sets are similar enough; 48 bits of a pair's hash are enough to meet
     many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
     pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
-    # one bit for each word's parity in 32: unlike sets differ in about half of them
-    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(31)).cast("int"))))
+    # one bit for each word's parity in 64: unlike sets differ in about half of them
+    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     lines = scratch.save(lines.select("d", "l", "key", "n", *(F.when(F.col("n") * (den - num) >= num, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
 
     # the first of the lines with the same set stands for them
@@ -81,10 +83,12 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
         need = f"cast(ceil({num} * ({n} + {n2}) / {num + den}) as int)"
         return f"{den} * least({n}, {n2}) >= {num} * greatest({n}, {n2}) and least({i}, {i2}) + least({n} - {i}, {n2} - {i2}) >= {need} and bit_count({s} ^ {s2}) <= {n} + {n2} - 2 * {need}"
 
-    # what lines meet under a pair of words: the earliest of them, and how many there are
-    posts = firsts.select("d", "l", "n", "b", F.posexplode("p").alias("i", "t")).repartition("t")
+    # pairs of words that are posted once only can't make lines meet; then the earliest line under each of the others, and how many there are
+    posts = firsts.select("d", "l", "n", "b", F.posexplode("p").alias("i", "t"))
+    again = scratch.save(firsts.select(F.explode("p").alias("t")).groupBy("t").count().where("count > 1").select("t"), "again")
+    posts = posts.join(F.broadcast(again) if again.count() <= BROADCAST_WORDS else again, "t").repartition("t")
     word = Window.partitionBy("t")
-    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)}).where("g > 1")
+    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)})
     posts = posts.withColumn("near", F.expr(f"(lead.d < d or lead.d = d and lead.l < l) and {close(['n', 'i', 'b'], ['lead.n', 'lead.i', 'lead.b'])}"))
     posts = scratch.save(posts.where("near or g > 2").select("t", "d", "l", "n", "i", "b", "g", "near", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2")), "posts")
 
