@@ -118,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing_sql(), "op8_hamming_top_k": hamming.ORACLE}
+    return {"op1_embedding_dedup": vectors.ORACLE, "op10_ngram_jaccard": jaccard.oracle(4, 85, 100), "op7_source_mixing": mixing_sql(), "op8_hamming_top_k": hamming.ORACLE}

@@ -255,3 +255,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2) -
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         if t.num_rows >= least:
             yield t
+
+
+#: All pairs of each label, for tables of a few thousand rows.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+ r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, t.vec_id = m.c AS kept FROM embeddings t
+LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = t.vec_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = t.vec_id
+"""
