@@ -10,8 +10,9 @@ o in common share at least 3 o - n - m - 1 neighbour pairs, hence a prefix of n
 is enough.  Pairs of classes that meet pass length and positional filters, and what is left is verified on the whole sets.  A line is
 removed if an earlier line has a similarity of num / den or more, or the same set.
 
-Each class first meets only the earliest class under each of its pairs of words; only classes that found no match there meet
-all the earlier ones.  So a group of thousands of variants of a line, most of them like its first one, doesn't make all pairs.
+Under a pair of words that up to ``SMALL`` classes share, each meets all the earlier ones.  In longer lists each class first meets
+only the earliest one; only classes that found no match at all then meet all the earlier ones.  So a group of thousands of
+variants of a line, most of them like its first one, doesn't make all pairs.
 
 Defined results: lines without words are never removed; null texts stay null, empty ones empty; a text that loses all its
 words goes with its row; rows with the same doc_id share positions and so keep or lose the same
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tempograph.llm.base import Scratch, if_small
 
 CELL_BITS = 17
+#: lines that share a pair of words up to which all of them meet at once
+SMALL = 32
 #: pairs of words (8 bytes each) up to which their list is broadcast; beyond, it is joined by shuffling
 BROADCAST_WORDS = 4_000_000
 _BLANK = "\t\x0b\x0c\r"
@@ -77,11 +80,13 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     repeated = scratch.save(repeated.select("key", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
     few = if_small(repeated)
     firsts = lines.where("p is not null").join(few, "key", "left").where("d0 is null or (d = d0 and l = l0)")
-    def close(a: list[str], b: list[str]) -> str:
-        """Filters by lengths, by places of the shared pair of words, and by signs, which differ in no more bits than the sets do in words."""
-        (n, i, s), (n2, i2, s2) = a, b
-        need = f"cast(ceil({num} * ({n} + {n2}) / {num + den}) as int)"
-        return f"{den} * least({n}, {n2}) >= {num} * greatest({n}, {n2}) and least({i}, {i2}) + least({n} - {i}, {n2} - {i2}) >= {need} and bit_count({s} ^ {s2}) <= {n} + {n2} - 2 * {need}"
+    def near(o: Column) -> Column:
+        """Whether ``o`` is earlier and passes the filters by lengths, by places of the shared pair of words, and by signs, which
+        differ in no more bits than the sets do in words."""
+        n, i, b, n2, i2, b2 = (F.col("n"), F.col("i"), F.col("b"), o["n"], o["i"], o["b"])
+        need = F.ceil(num * (n + n2) / (num + den))
+        earlier = (o["d"] < F.col("d")) | ((o["d"] == F.col("d")) & (o["l"] < F.col("l")))
+        return earlier & (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (F.least(i, i2) + F.least(n - i, n2 - i2) >= need) & (F.bit_count(b.bitwiseXOR(b2)) <= n + n2 - 2 * need)
 
     # pairs of words that are posted once only can't make lines meet; then the earliest line under each of the others, and how many there are
     posts = firsts.select("d", "l", "n", "b", F.posexplode("p").alias("i", "t"))
@@ -89,34 +94,45 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     posts = posts.join(F.broadcast(again) if again.count() <= BROADCAST_WORDS else again, "t").repartition("t")
     word = Window.partitionBy("t")
     posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)})
-    posts = posts.withColumn("near", F.expr(f"(lead.d < d or lead.d = d and lead.l < l) and {close(['n', 'i', 'b'], ['lead.n', 'lead.i', 'lead.b'])}"))
-    posts = scratch.save(posts.where("near or g > 2").select("t", "d", "l", "n", "i", "b", "g", "near", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2")), "posts")
+    before = F.collect_list(F.struct("d", "l", "n", "i", "b")).over(word.orderBy("d", "l").rowsBetween(-SMALL, -1))
+    posts = posts.withColumn("prev", F.when(F.col("g") <= SMALL, before))
+    # in a short list all that come before are met at once, in a long one the earliest only
+    here = F.filter("prev", near)
+    met = posts.select("t", "d", "l", "n", "i", "b", "g", F.explode(F.coalesce(here, F.filter(F.array("lead"), near))).alias("o"))
+    met = met.select("d", "l", "n", F.col("o.d").alias("d2"), F.col("o.l").alias("l2"), F.col("o.n").alias("n2"))
+    long_ = scratch.save(posts.where(f"g > {SMALL}").select("t", "d", "l", "n", "i", "b"), "long")
+    # the pairs of words that two lines share in their prefixes, and those that may be in long lists, must make up what they need
+    listed = if_small(long_.groupBy("d", "l").agg(F.count("*").alias("more")))
+    shared = met.groupBy("d", "l", "n", "d2", "l2", "n2").agg(F.count("*").alias("c")).join(listed, ["d", "l"], "left")
+    tail = f"greatest(ceil(n * {2 * num - den} / {den}), ceil(n2 * {2 * num - den} / {den})) - 2"
+    star = shared.where(f"c + coalesce(more, 0) >= 3 * ceil({num} * (n + n2) / {num + den}) - n - n2 - 1 - ({tail})").select("d", "l", "d2", "l2")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = scratch.save(pairs.select("d", "l").union(pairs.select("d2", "l2")).distinct(), "wanted")
-        where = if_small(wanted.groupBy("d").agg(F.collect_set("l").alias("ls")), wanted.count())
+        many = wanted.count()
+        where = if_small(wanted.groupBy("d").agg(F.collect_set("l").alias("ls")), many)
         own = docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
-        own = own.withColumn("w", word_hashes(F.col("line"))).groupBy("d", "l").agg(F.max("w").alias("w"))  # rows that share doc_id: one of them
-        sets = scratch.save(own, "sets")
+        sets = scratch.save(own.select("d", "l", word_hashes(F.col("line")).alias("w")), "sets")
+        if sets.count() > many:  # rows that share doc_id: one of them
+            sets = sets.groupBy("d", "l").agg(F.max("w").alias("w"))
         a, b = sets.withColumnRenamed("w", "a"), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("w").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
         found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(den * both >= num * (F.size("a") + F.size("b") - both))
         return found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0"))
 
-    done = scratch.save(verified(scratch.save(posts.where("near").select("d", "l", "d2", "l2").distinct(), "star")), "matched")
-    group = posts.where("g > 2").select("t", "d", "l", "n", "i", "b")
-    open_ = group.join(if_small(done.select("d", "l")), ["d", "l"], "left_anti")
-    others = group.select("t", *(F.col(c).alias(c + "2") for c in ("d", "l", "n", "i", "b")))
-    rest = open_.hint("merge").join(others, "t").where(f"(d2 < d or d2 = d and l2 < l) and {close(['n', 'i', 'b'], ['n2', 'i2', 'b2'])}").select("d", "l", "d2", "l2").distinct()
+    done = scratch.save(verified(scratch.save(star, "star")), "matched")
+    open_ = long_.join(if_small(done.select("d", "l")), ["d", "l"], "left_anti")
+    others = long_.select("t", F.struct("d", "l", "n", "i", "b").alias("o"))
+    rest = open_.hint("merge").join(others, "t").where(near(F.col("o"))).select("d", "l", F.col("o.d").alias("d2"), F.col("o.l").alias("l2")).distinct()
     more = verified(scratch.save(rest, "rest"))
-    near = scratch.save(done.unionByName(more), "near")
+    alike = scratch.save(done.unionByName(more), "alike")
 
     # what holds for the first line of a set holds for all lines with it
     slim = lines.select("d", "l", "key")
-    keys = slim.join(if_small(near), ["d", "l"]).select("key", "d0", "l0")
-    near = slim.join(if_small(keys, near.count()), "key").select("d", "l", "d0", "l0")
+    keys = slim.join(if_small(alike), ["d", "l"]).select("key", "d0", "l0")
+    copies = slim.join(if_small(keys, alike.count()), "key").select("d", "l", "d0", "l0")
     same = slim.join(few, "key").where("d0 < d or d0 = d and l0 < l").select("d", "l", "d0", "l0")
-    out = near.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*")
+    out = copies.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*")
     return scratch.save(out, "removed")
 
 

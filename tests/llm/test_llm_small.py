@@ -154,8 +154,9 @@ def line_docs(seed):
     return rows + [(None, rows[0][1]), (50, None), (51, ""), (52, "\n\n \n"), (53, "x " * 5000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_lines(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, 32), (2, 2), (3, 1)])
+def test_lines(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(linededup, "SMALL", small)
     rows = line_docs(seed)
     got = {(r.doc_id, r.line) for r in linededup.removed_lines(docs_of(spark, rows)).collect()}
     assert got == brute_lines(rows)
