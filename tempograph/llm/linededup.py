@@ -30,6 +30,10 @@ from tempograph.llm.base import Scratch, if_small
 CELL_BITS = 17
 #: lines that share a pair of words up to which all of them meet at once
 SMALL = 32
+#: numbers of words and places from here on aren't told apart, and no filter but verification holds for such lines
+CLIP = 32_767
+#: lines that share a pair of words up to which all of them meet at once
+SMALL = 32
 #: pairs of words (8 bytes each) up to which their list is broadcast; beyond, it is joined by shuffling
 BROADCAST_WORDS = 4_000_000
 _BLANK = "\t\x0b\x0c\r"
@@ -71,8 +75,8 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     # of fewer words than num / (den - num) no two different sets are similar enough; 48 bits of a pair's hash are enough to meet
     many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
     pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
-    # one bit for each word's parity in 64: unlike sets differ in about half of them
-    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    # one bit for each word's parity in 48: unlike sets differ in about half of them
+    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(0xFFFF)) % 48).cast("int"))))
     lines = scratch.save(lines.select("d", "l", "key", "n", *(F.when(F.col("n") * (den - num) >= num, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
 
     # the first of the lines with the same set stands for them
@@ -86,14 +90,17 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
         n, i, b, n2, i2, b2 = (F.col("n"), F.col("i"), F.col("b"), o["n"], o["i"], o["b"])
         need = F.ceil(num * (n + n2) / (num + den))
         earlier = (o["d"] < F.col("d")) | ((o["d"] == F.col("d")) & (o["l"] < F.col("l")))
-        return earlier & (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (F.least(i, i2) + F.least(n - i, n2 - i2) >= need) & (F.bit_count(b.bitwiseXOR(b2)) <= n + n2 - 2 * need)
-
-    # pairs of words that are posted once only can't make lines meet; then the earliest line under each of the others, and how many there are
-    posts = firsts.select("d", "l", "n", "b", F.posexplode("p").alias("i", "t"))
-    again = scratch.save(firsts.select(F.explode("p").alias("t")).groupBy("t").count().where("count > 1").select("t"), "again")
-    posts = posts.join(F.broadcast(again) if again.count() <= BROADCAST_WORDS else again, "t").repartition("t")
+        fits = (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (F.least(i, i2) + F.least(n - i, n2 - i2) >= need) & (F.bit_count(b.bitwiseXOR(b2)) <= n + n2 - 2 * need)
+        return earlier & (fits | (F.greatest(n, n2) >= CLIP))
+
+    # a posting is four longs: the pair's 48 bits and its place, the line's place, and the sign with the number of words
+    top = lambda v: F.shiftleft(F.least(v.cast("long"), F.lit(CLIP)), 48)
+    low = lambda v: v.bitwiseAND(F.lit((1 << 48) - 1))
+    posts = firsts.select("d", "l", top(F.col("n")).bitwiseOR(F.col("b")).alias("nb"), F.posexplode("p").alias("i", "t")).select("d", "l", "nb", top(F.col("i")).bitwiseOR(F.col("t")).alias("ti"))
+    posts = posts.repartition(low(F.col("ti")))
+    posts = posts.select(low(F.col("ti")).alias("t"), "d", "l", F.shiftrightunsigned("ti", 48).alias("i"), F.shiftrightunsigned("nb", 48).alias("n"), low(F.col("nb")).alias("b"))
     word = Window.partitionBy("t")
-    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)})
+    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)}).where("g > 1")
     before = F.collect_list(F.struct("d", "l", "n", "i", "b")).over(word.orderBy("d", "l").rowsBetween(-SMALL, -1))
     posts = posts.withColumn("prev", F.when(F.col("g") <= SMALL, before))
     # in a short list all that come before are met at once, in a long one the earliest only
@@ -105,7 +112,7 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     listed = if_small(long_.groupBy("d", "l").agg(F.count("*").alias("more")))
     shared = met.groupBy("d", "l", "n", "d2", "l2", "n2").agg(F.count("*").alias("c")).join(listed, ["d", "l"], "left")
     tail = f"greatest(ceil(n * {2 * num - den} / {den}), ceil(n2 * {2 * num - den} / {den})) - 2"
-    star = shared.where(f"c + coalesce(more, 0) >= 3 * ceil({num} * (n + n2) / {num + den}) - n - n2 - 1 - ({tail})").select("d", "l", "d2", "l2")
+    star = shared.where(f"n >= {CLIP} or n2 >= {CLIP} or c + coalesce(more, 0) >= 3 * ceil({num} * (n + n2) / {num + den}) - n - n2 - 1 - ({tail})").select("d", "l", "d2", "l2")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = scratch.save(pairs.select("d", "l").union(pairs.select("d2", "l2")).distinct(), "wanted")
