@@ -57,8 +57,8 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share_of_all:
     for level in LEVELS:
         leaves = leaves.withColumn(f"w_{level}", weight_of(level, weights.get(level, {}), other))
     leaves = leaves.withColumn("cap", F.when((F.col("w_domain") > 0) & (F.col("w_lang") > 0) & (F.col("w_source") > 0), F.col("cap")).otherwise(0))
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {num} div {den}").alias("total"))
-    domains = leaves.groupBy("domain", "w_domain").agg(F.sum("cap").alias("cap")).where("cap > 0").crossJoin(F.broadcast(total)).withColumn("top", F.lit(0))
+    domains = leaves.groupBy("domain", "w_domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("own")).withColumn("top", F.lit(0))
+    domains = domains.withColumn("all", F.sum("own").over(Window.partitionBy("top"))).withColumn("total", F.expr(f"`all` * {num} div {den}")).where("cap > 0").drop("own", "all")
     domains = share(domains, ["top"], "w_domain", "cap", "total").select("domain", F.col("got").alias("of_domain"))
     langs = leaves.groupBy("domain", "lang", "w_lang").agg(F.sum("cap").alias("cap")).where("cap > 0").join(domains, "domain")
     langs = share(langs, ["domain"], "w_lang", "cap", "of_domain").select("domain", "lang", F.col("got").alias("of_lang"))
