@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm.labelled import fold_of, platt, prior_shift, sample, sigmoid
+from tempograph.llm.textbytes import slices
 
 #: bytes of a piece that is compressed by itself, so that the dictionary and not the text's own past decides
 PIECE = 1024
@@ -97,9 +98,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer(model, share)
-        for batch in batches:
-            s = f(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            s = f(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text", (fold_of("doc_id") == 0).alias("held_out")).mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -111,7 +112,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer(model, share)
-        for batch in batches:
-            yield batch.filter(pa.array(f(batch.column(where).to_pylist()) >= threshold))
+        for part in (p for batch in batches for p in slices(batch, where)):
+            yield part.filter(pa.array(f(part.column(where).to_pylist()) >= threshold))
 
     return docs.mapInArrow(apply, docs.schema)

@@ -6,6 +6,7 @@ odd number for its place, mixed with the length; two different segments collide
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers that wait for their next task don't hold it (glibc only)."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def slices(batch: pa.RecordBatch, text: str | int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text at most; a longer text makes a part of its own."""
     col = batch.column(text).cast(pa.large_string()) if batch.num_rows else None
     if col is None:
@@ -51,6 +60,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
         yield batch.slice(at, min(to, batch.num_rows) - at)
         at = to
+    give_back()
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
