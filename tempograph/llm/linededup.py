@@ -29,11 +29,11 @@ from tempograph.llm.base import Scratch, if_small
 
 CELL_BITS = 17
 #: lines that share a pair of words up to which all of them meet at once
-SMALL = 32
+SMALL = 128
 #: numbers of words and places from here on aren't told apart, and no filter but verification holds for such lines
 CLIP = 32_767
 #: lines that share a pair of words up to which all of them meet at once
-SMALL = 32
+SMALL = 128
 #: pairs of words (8 bytes each) up to which their list is broadcast; beyond, it is joined by shuffling
 BROADCAST_WORDS = 4_000_000
 _BLANK = "\t\x0b\x0c\r"
