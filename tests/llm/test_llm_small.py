@@ -370,6 +370,25 @@ def test_passages(spark):
     assert chains.passages(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_passages_of_copies_in_any_order(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    copied, other = " ".join(words(50) + shared + words(20)), " ".join(words(30) + shared + words(40))
+    more = [(i, " ".join(words(5) + shared + words(15))) for i in range(40, 60)]  # a frequent passage, in some other window
+    rows = [(30, copied), (20, copied), (5, other), (10, copied)]
+    for docs in (rows, rows[::-1], [*rows, *more]):
+        df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        for df in (df, df.repartition(3, F.col("doc_id") % 3)):
+            got = {(r.doc_id, r.other_id) for r in chains.passages(df).collect()}
+            assert {(10, 5), (20, 10), (30, 10)} <= got
+            assert {d for d, _ in got} == {d for d, _ in docs} - {5}
+    # the head is neither seeded first nor the smallest document of its frequent passage's first window
+    docs = [(i, t) for i, t in [(30, copied), *more, (10, copied)]]
+    got = {(r.doc_id, r.other_id) for r in chains.passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(30, 10), *((i, 10) for i, _ in more)}
+
+
 # ---------------------------------------------------------------- 10
 
 
