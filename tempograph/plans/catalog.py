@@ -233,6 +233,14 @@ def clip_to_bounds(s: Source) -> DataFrame:
     return z.select("session_id", F.explode(intervals.clip_zooms(F.col("z"), F.col("lo"), F.col("hi"))).alias("c")).select("session_id", "c.s", "c.e", "c.zoom")
 
 
+@query()
+def clip_to_bounds_whole(s: Source) -> DataFrame:
+    """clip_to_bounds of all segments; that one's SQL keeps even starts only."""
+    seen = s.layout.where("layout in ('pip', 'screen_full')").withColumnsRenamed({"s": "lo", "e": "hi"})
+    z = intervals.overlap_join(seen, s.zooms, "lo", "hi", "s", "e").select("session_id", "lo", "hi", F.array(F.struct("s", "e", "zoom", "cx", "cy")).alias("z"))
+    return z.select("session_id", F.explode(intervals.clip_zooms(F.col("z"), F.col("lo"), F.col("hi"))).alias("c")).select("session_id", "c.s", "c.e", "c.zoom")
+
+
 @query("""
 WITH d AS (SELECT user_id AS session_id, duration FROM (SELECT session_id AS user_id, duration FROM @durations q) x),
  o AS (SELECT r.*, lag(e) OVER (PARTITION BY session_id ORDER BY s, e) AS pe FROM @ragged r)
@@ -342,6 +350,13 @@ def asof_nearest(s: Source) -> DataFrame:
     return joins.asof_nearest(points, s.cursor_sparse.where("event = 'move' and row_seq % 7 = 0"))
 
 
+@query()
+def asof_nearest_whole(s: Source) -> DataFrame:
+    """asof_nearest among all moves; that one's SQL keeps every seventh row."""
+    points = s.hints.select("session_id", F.col("hint_id").alias("point_id"), F.col("s").alias("t_us"))
+    return joins.asof_nearest(points, s.cursor_sparse.where("event = 'move'"))
+
+
 @query(f"""SELECT h.session_id, h.hint_id, h.s, least(h.e, d.duration) AS e, CAST(CASE h.strength WHEN 'soft' THEN 1.25 WHEN 'strong' THEN 1.7 ELSE 1.5 END AS DOUBLE) AS zoom,
  CASE WHEN q.mt - h.s <= 500000 THEN q.x ELSE 0.5 END AS cx, CASE WHEN q.mt - h.s <= 500000 THEN q.y ELSE 0.5 END AS cy
 FROM @hints h JOIN @durations d ON d.session_id = h.session_id JOIN {_NEAREST} q ON q.hint_id = h.hint_id AND q.r = 1 WHERE least(h.e, d.duration) > h.s""")
@@ -349,6 +364,12 @@ def hints_to_zooms(s: Source) -> DataFrame:
     return joins.hints_to_zooms(s.hints, s.cursor_sparse.where("event = 'move' and row_seq % 7 = 0"), s.durations)
 
 
+@query()
+def hints_to_zooms_whole(s: Source) -> DataFrame:
+    """hints_to_zooms among all moves; that one's SQL keeps every seventh row."""
+    return joins.hints_to_zooms(s.hints, s.cursor_sparse.where("event = 'move'"), s.durations)
+
+
 @query("""WITH a AS (SELECT session_id, s, e FROM @hints h), b AS (SELECT session_id, s, e FROM @cuts c)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.session_id = b.session_id AND b.s + b.e BETWEEN 2 * a.s AND 2 * a.e)""")
 def zoom_priority_merge(s: Source) -> DataFrame:
@@ -378,6 +399,13 @@ def clip_transcript(s: Source) -> DataFrame:
     return joins.clip_transcript(clips, s.sents)
 
 
+@query()
+def clip_transcript_whole(s: Source) -> DataFrame:
+    """clip_transcript of the clips from every sentence; that one's SQL takes every fifth."""
+    clips = s.sents.selectExpr("session_id", "idx as clip_id", "idx as first", "idx + idx % 4 as last")
+    return joins.clip_transcript(clips, s.sents)
+
+
 def timed_words(texts: DataFrame) -> DataFrame:
     """Words of texts (doc_id, text) with invented times: one each 0.4 s, longer by 50 ms for each character."""
     w = texts.select(F.col("doc_id").alias("session_id"), F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("word_idx", "word")).where("word <> ''")
