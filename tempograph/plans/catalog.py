@@ -753,6 +753,13 @@ def karaoke_line(s: Source) -> DataFrame:
     return w.select("session_id", F.array_join(F.transform("w", lambda x: T.karaoke(x["word"], x["s"], x["e"])), " ").alias("line"))
 
 
+@query()
+def karaoke_line_whole(s: Source) -> DataFrame:
+    """karaoke_line of whole texts; that one's SQL keeps their first 12 words."""
+    w = words_of(s).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "s", "e"))).alias("w"))
+    return w.select("session_id", F.array_join(F.transform("w", lambda x: T.karaoke(x["word"], x["s"], x["e"])), " ").alias("line"))
+
+
 _LLM = "(SELECT session_id, concat('<think>a {{ b', chr(10), '</think> ok {{\"cuts\": [{{\"start\": ', CAST(s AS {V}), ', \"end\": ', CAST(e AS {V}), ', \"reason\": \"r\"}}]}} tail }}') AS raw, hint_id FROM @hints h)"
 _LLM_SQL = _LLM.format(V="VARCHAR")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -66,3 +67,13 @@ def test_clip_transcript(spark, source):
     text = {(r.session_id, r.idx): r.text.strip(" ") for r in source.sents.collect()}
     want = {(d, i): " ".join(text[d, j] for j in range(i, i + i % 4) if (d, j) in text) for d, i in text}
     assert {(r.session_id, r.clip_id): r.text for r in rows_of(spark, "clip_transcript_whole")} == want
+
+
+def test_karaoke_line(spark, source):
+    want = {}
+    for r in source.table("documents").collect():
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", r.text or "") if x]
+        if w:
+            want[r.doc_id] = " ".join(f"{{\\kf{max(1, 5 * len(x))}}}{x}" for x in w)
+    assert max(len(v.split()) for v in want.values()) > 12
+    assert {r.session_id: r.line for r in rows_of(spark, "karaoke_line_whole")} == want
