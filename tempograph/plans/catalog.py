@@ -808,7 +808,7 @@ def encoder_flags(s: Source) -> DataFrame:
 
 @query("SELECT doc_id, left(sha256(concat(CAST(octet_length(encode(text)) AS VARCHAR), text)), 16) AS print, left(md5(text), 16) AS m FROM documents WHERE octet_length(encode(text)) <= 1048576")
 def fingerprint(s: Source) -> DataFrame:
-    d = s.table("documents").select("doc_id", F.col("text").cast("binary").alias("b")).where("octet_length(b) <= 1048576")
+    d = s.table("documents").select("doc_id", F.col("text").cast("binary").alias("b"))
     return d.select("doc_id", T.fingerprint(F.col("b")).alias("print"), F.left(F.md5("b"), F.lit(16)).alias("m"))
 
 

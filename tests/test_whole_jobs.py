@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter, defaultdict
@@ -77,3 +78,15 @@ def test_karaoke_line(spark, source):
             want[r.doc_id] = " ".join(f"{{\\kf{max(1, 5 * len(x))}}}{x}" for x in w)
     assert max(len(v.split()) for v in want.values()) > 12
     assert {r.session_id: r.line for r in rows_of(spark, "karaoke_line_whole")} == want
+
+
+def test_fingerprint_of_long_texts(spark, tmp_path):
+    mib = 1 << 20
+    texts = {1: "short", 2: "a" * mib, 3: "é" * (3 * mib // 4), 4: "x" * mib + "y" * mib, 5: "x" * mib + "z" * 99 + "y" * mib}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in texts.items():
+        b = t.encode()
+        last = b[-mib:] if len(b) > 2 * mib else b""
+        want[i] = (hashlib.sha256(str(len(b)).encode() + b[:mib] + last).hexdigest()[:16], hashlib.md5(b).hexdigest()[:16])
+    assert {r.doc_id: (r.print, r.m) for r in plans.queries()["fingerprint"](spark, str(tmp_path)).collect()} == want
