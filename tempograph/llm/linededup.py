@@ -1,22 +1,27 @@
 """Operator 2: removal of near-duplicate lines by an exact set-similarity join.  DataFrame functions only.
 
-A line is the set of its words (64-bit hashes).  Lines with the same set are one class, placed at its first occurrence by
-(doc_id, line).  Words are ordered by rarity: by the logarithm of the count in their cell of a hashed count over the
+A line is the set of its words (64-bit hashes).  Lines with the same set are one class, named by 128 bits of hash and placed at its first
+occurrence by (doc_id, line).  Words are ordered by rarity: by the logarithm of the count in their cell of a hashed count over the
 whole corpus (``CELL_BITS`` bounds what the plan carries), then by hash; any such order gives the same result.
 
 What is posted are pairs of neighbours in that order, not single words: a line's rarest words are no longer rare in a large corpus,
-and lists of single words grow with its square, but neighbours are rare unless the lines are alike.  Sets of n and m words with
-o in common share at least 3 o - n - m - 1 neighbour pairs, hence a prefix of n - ceil(n (2 num - den) / den) + 1 pairs
-is enough.  Pairs of classes that meet pass length and positional filters, and what is left is verified on the whole sets.  A line is
-removed if an earlier line has a similarity of num / den or more, or the same set.
-
-Under a pair of words that up to ``SMALL`` classes share, each meets all the earlier ones.  In longer lists each class first meets
-only the earliest one; only classes that found no match at all then meet all the earlier ones.  So a group of thousands of
-variants of a line, most of them like its first one, doesn't make all pairs.
-
-Defined results: lines without words are never removed; null texts stay null, empty ones empty; a text that loses all its
-words goes with its row; rows with the same doc_id share positions and so keep or lose the same
-lines (where their texts differ, one of them is compared); rows with a null doc_id are left as they are and match nothing; an
+and lists of single words grow with its square, but neighbours are rare unless the lines are alike.  Let sets of n and m words have o in
+common.  Between two common words that follow one another stands a word of one set only, or they are neighbours in both; there are
+n + m - 2 o such words, so one of the first n + m - 2 o + 1 gaps between common words is a shared pair, and with a similarity of
+t = num / den or more it is among the first n - ceil(n (2 t - 1)) + 1 pairs of either line.  For that there must be enough common words
+in the smallest sets, so t must be at least 3/4; other thresholds are refused.  Pairs of classes that meet pass length and positional filters
+and one on the words' parities, and what is left is verified on the whole sets.  A line is removed if an earlier line has
+a similarity of t or more, or the same set.
+
+Lists never make all their pairs.  First every class meets the earliest one of each of its lists.  In lists where more than ``SMALL`` classes are
+then without a match, the first of those is met by the others, and so on while that finds matches.  Only then does a class meet what
+comes before the match that it has so far, in the lists that may hold an earlier one: a group of thousands of variants of
+a line finds its first one, and few pairs are left.  A pair of words that very many lines share is found by a count over
+65,536 cells, and its list is never sorted or gathered in one task.
+
+Defined results: the match of a removed line is the earliest line that is similar to it; lines without words are never removed; null
+texts stay null, empty ones empty; a text that loses all its words goes with its row; rows with the same doc_id share positions and so keep
+or lose the same lines (where their texts differ, one of them is compared); rows with a null doc_id are left as they are and match nothing; an
 empty table gives no rows; further columns stay as they are.  Ties can't arise, as places differ.
 """
 
@@ -28,14 +33,14 @@ from pyspark.sql import functions as F
 from tempograph.llm.base import Scratch, if_small
 
 CELL_BITS = 17
-#: lines that share a pair of words up to which all of them meet at once
-SMALL = 128
+#: classes without a match in one list up to which they meet all that comes before at once
+SMALL = 64
+#: lines in a cell of the pairs' count from which its pairs are handled without windows
+HOT = 1_000_000
+#: longs of the longer sign of lines in long lists (a power of 2)
+WIDE = 8
 #: numbers of words and places from here on aren't told apart, and no filter but verification holds for such lines
 CLIP = 32_767
-#: lines that share a pair of words up to which all of them meet at once
-SMALL = 128
-#: pairs of words (8 bytes each) up to which their list is broadcast; beyond, it is joined by shuffling
-BROADCAST_WORDS = 4_000_000
 _BLANK = "\t\x0b\x0c\r"
 
 
@@ -64,87 +69,165 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").alias("d"), F.posexplode(F.split("text", "\n")).alias("l", "line")).where(F.length(F.trim("line")) > 0)
 
 
-def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """d, l, d0, l0: the lines to be removed, each with the earliest line found that it matches."""
-    cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
-    rarity = [0] * (1 << CELL_BITS)
-    for c, n in cells.groupBy("c").count().select("c", F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
-        rarity[c] = min(n, 62) + 1
-    lines = once(lines_of(docs), "w", ordered(word_hashes(F.col("line")), rarity)).drop("line")
-    lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w")}).where("n > 0")
-    # of fewer words than num / (den - num) no two different sets are similar enough; 48 bits of a pair's hash are enough to meet
-    many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
-    pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
-    # one bit for each word's parity in 48: unlike sets differ in about half of them
-    sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(0xFFFF)) % 48).cast("int"))))
-    lines = scratch.save(lines.select("d", "l", "key", "n", *(F.when(F.col("n") * (den - num) >= num, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
-
-    # the first of the lines with the same set stands for them
-    repeated = lines.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
-    repeated = scratch.save(repeated.select("key", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
-    few = if_small(repeated)
-    firsts = lines.where("p is not null").join(few, "key", "left").where("d0 is null or (d = d0 and l = l0)")
-    def near(o: Column) -> Column:
-        """Whether ``o`` is earlier and passes the filters by lengths, by places of the shared pair of words, and by signs, which
-        differ in no more bits than the sets do in words."""
-        n, i, b, n2, i2, b2 = (F.col("n"), F.col("i"), F.col("b"), o["n"], o["i"], o["b"])
-        need = F.ceil(num * (n + n2) / (num + den))
-        earlier = (o["d"] < F.col("d")) | ((o["d"] == F.col("d")) & (o["l"] < F.col("l")))
-        fits = (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (F.least(i, i2) + F.least(n - i, n2 - i2) >= need) & (F.bit_count(b.bitwiseXOR(b2)) <= n + n2 - 2 * need)
-        return earlier & (fits | (F.greatest(n, n2) >= CLIP))
-
-    # a posting is four longs: the pair's 48 bits and its place, the line's place, and the sign with the number of words
-    top = lambda v: F.shiftleft(F.least(v.cast("long"), F.lit(CLIP)), 48)
-    low = lambda v: v.bitwiseAND(F.lit((1 << 48) - 1))
-    posts = firsts.select("d", "l", top(F.col("n")).bitwiseOR(F.col("b")).alias("nb"), F.posexplode("p").alias("i", "t")).select("d", "l", "nb", top(F.col("i")).bitwiseOR(F.col("t")).alias("ti"))
-    posts = posts.repartition(low(F.col("ti")))
-    posts = posts.select(low(F.col("ti")).alias("t"), "d", "l", F.shiftrightunsigned("ti", 48).alias("i"), F.shiftrightunsigned("nb", 48).alias("n"), low(F.col("nb")).alias("b"))
-    word = Window.partitionBy("t")
-    posts = posts.withColumns({"g": F.count("*").over(word), "lead": F.min(F.struct("d", "l", "n", "i", "b")).over(word)}).where("g > 1")
-    before = F.collect_list(F.struct("d", "l", "n", "i", "b")).over(word.orderBy("d", "l").rowsBetween(-SMALL, -1))
-    posts = posts.withColumn("prev", F.when(F.col("g") <= SMALL, before))
-    # in a short list all that come before are met at once, in a long one the earliest only
-    here = F.filter("prev", near)
-    met = posts.select("t", "d", "l", "n", "i", "b", "g", F.explode(F.coalesce(here, F.filter(F.array("lead"), near))).alias("o"))
-    met = met.select("d", "l", "n", F.col("o.d").alias("d2"), F.col("o.l").alias("l2"), F.col("o.n").alias("n2"))
-    long_ = scratch.save(posts.where(f"g > {SMALL}").select("t", "d", "l", "n", "i", "b"), "long")
-    # the pairs of words that two lines share in their prefixes, and those that may be in long lists, must make up what they need
-    listed = if_small(long_.groupBy("d", "l").agg(F.count("*").alias("more")))
-    shared = met.groupBy("d", "l", "n", "d2", "l2", "n2").agg(F.count("*").alias("c")).join(listed, ["d", "l"], "left")
-    tail = f"greatest(ceil(n * {2 * num - den} / {den}), ceil(n2 * {2 * num - den} / {den})) - 2"
-    star = shared.where(f"n >= {CLIP} or n2 >= {CLIP} or c + coalesce(more, 0) >= 3 * ceil({num} * (n + n2) / {num + den}) - n - n2 - 1 - ({tail})").select("d", "l", "d2", "l2")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = scratch.save(pairs.select("d", "l").union(pairs.select("d2", "l2")).distinct(), "wanted")
+def before(d: str, l: str, d2: str, l2: str) -> Column:
+    """Whether the place (d, l) comes before (d2, l2)."""
+    return (F.col(d) < F.col(d2)) | ((F.col(d) == F.col(d2)) & (F.col(l) < F.col(l2)))
+
+
+class Lines:
+    """The lines of ``docs`` with what the join needs of each, and the classes' shared pairs of words."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, num: int, den: int) -> None:
+        if not 3 * den <= 4 * num <= 4 * den:
+            raise ValueError("the threshold must be from 3/4 to 1")
+        self.docs, self.scratch, self.num, self.den = docs, scratch, num, den
+        cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
+        rarity = [0] * (1 << CELL_BITS)
+        for c, n in cells.groupBy("c").count().select("c", F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
+            rarity[c] = min(n, 62) + 1
+        lines = once(lines_of(docs), "w", ordered(word_hashes(F.col("line")), rarity)).drop("line")
+        lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w"), "key2": F.xxhash64(F.lit(2), "w")}).where("n > 0")
+        many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
+        # 48 bits of a pair's hash are enough to meet
+        pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
+        # one bit for each word's parity in 48: unlike sets differ in about half of them
+        sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(0xFFFF)) % 48).cast("int"))))
+        # of fewer words than num / (den - num) no two different sets are similar enough
+        able = F.col("n") * (den - num) >= num
+        self.all = scratch.save(lines.select("d", "l", "key", "key2", "n", *(F.when(able, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
+        # the first of the lines with the same set stands for them
+        repeated = self.all.groupBy("key", "key2").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
+        self.repeated = scratch.save(repeated.select("key", "key2", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
+        self.few = if_small(self.repeated)
+
+    def near(self, wide: bool = False) -> Column:
+        """Whether the other line (d2, l2) is earlier and passes the filters by lengths, by places of what may be the first shared pair of words, and
+        by signs, which differ in no more bits than the sets do in words; ``wide``: the longer signs s0, s1 and so on too."""
+        num, den, n, i, n2, i2 = self.num, self.den, *map(F.col, ("n", "i", "n2", "i2"))
+        most = n + n2 - 2 * F.ceil(num * (n + n2) / (num + den))  # words of one set only
+        differ = lambda a: F.bit_count(F.col(a).bitwiseXOR(F.col(f"{a}2")))
+        # before the first pair that two lines share, each common word has such a word next to it: at most a third is common
+        ahead = F.greatest(F.abs(i - i2), F.ceil((i + i2) / 3))
+        fits = (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (ahead + F.abs(n - i - n2 + i2) <= most) & (differ("b") <= most)
+        if wide:
+            fits = fits & (sum((differ(f"s{k}") for k in range(1, WIDE)), differ("s0")) <= most)
+        return before("d2", "l2", "d", "l") & (fits | (F.greatest(n, n2) >= CLIP))
+
+    def lists(self) -> DataFrame:
+        """t, d, l, n, i, b, g, d2, l2, hit: every pair of words that several classes share, with the list's length and the place of its first class, and
+        whether that one passes the filters."""
+        firsts = self.all.where("p is not null").join(self.few, ["key", "key2"], "left").where("d0 is null or (d = d0 and l = l0)")
+        # a posting is four longs: the pair's 48 bits and its place, the line's place, and the sign with the number of words
+        top = lambda v: F.shiftleft(F.least(v.cast("long"), F.lit(CLIP)), 48)
+        low = lambda v: v.bitwiseAND(F.lit((1 << 48) - 1))
+        posts = firsts.select("d", "l", top(F.col("n")).bitwiseOR(F.col("b")).alias("nb"), F.posexplode("p").alias("i", "t")).select("d", "l", "nb", top(F.col("i")).bitwiseOR(F.col("t")).alias("ti"))
+        cell = low(F.col("ti")).bitwiseAND(F.lit(0xFFFF))
+        hot = [r.c for r in posts.groupBy(cell.alias("c")).count().where(F.col("count") >= HOT).select("c").collect()]  # 65,536 cells at most
+        apart = lambda df: df.select(low(F.col("ti")).alias("t"), "d", "l", F.shiftrightunsigned("nb", 48).alias("n"), F.shiftrightunsigned("ti", 48).alias("i"), low(F.col("nb")).alias("b"))
+        lead = F.min(F.struct("d", "l", "n", "i", "b"))
+        word = Window.partitionBy("t")
+        cold = apart((posts.where(~cell.isin(hot)) if hot else posts).repartition(low(F.col("ti"))))
+        out = cold.withColumns({"g": F.count("*").over(word), "lead": lead.over(word)}).where("g > 1")
+        if hot:
+            large = apart(posts.where(cell.isin(hot)))
+            heads = large.groupBy("t").agg(F.count("*").alias("g"), lead.alias("lead")).where("g > 1")
+            out = out.unionByName(large.hint("merge").join(heads, "t").select(*out.columns))
+        out = out.select("t", "d", "l", "n", "i", "b", "g", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.b").alias("b2"))
+        return self.scratch.save(out.withColumn("hit", self.near()).drop("n2", "i2", "b2"), "lists")
+
+    def sets(self, places: DataFrame) -> DataFrame:
+        """d, l, w: the whole sets of the lines at these places."""
+        wanted = self.scratch.save(places.distinct(), "wanted")
         many = wanted.count()
         where = if_small(wanted.groupBy("d").agg(F.collect_set("l").alias("ls")), many)
-        own = docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
-        sets = scratch.save(own.select("d", "l", word_hashes(F.col("line")).alias("w")), "sets")
+        own = self.docs.select(F.col("doc_id").alias("d"), "text").join(where, "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "ls").where("array_contains(ls, l)")
+        sets = self.scratch.save(own.select("d", "l", word_hashes(F.col("line")).alias("w")), "sets")
+        self.scratch.drop(wanted)
         if sets.count() > many:  # rows that share doc_id: one of them
             sets = sets.groupBy("d", "l").agg(F.max("w").alias("w"))
+        return sets
+
+    def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """d, l, d0, l0: each line of the pairs with the earliest of its partners that is similar enough."""
+        pairs = self.scratch.save(pairs.select("d", "l", "d2", "l2").distinct(), "pairs")
+        own = sets is None
+        sets = self.sets(pairs.select("d", "l").union(pairs.select("d2", "l2"))) if own else sets
         a, b = sets.withColumnRenamed("w", "a"), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("w").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
-        found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(den * both >= num * (F.size("a") + F.size("b") - both))
-        return found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0"))
+        found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(self.den * both >= self.num * (F.size("a") + F.size("b") - both))
+        out = self.scratch.save(found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0")), "found")
+        self.scratch.drop(pairs)
+        if own and hasattr(sets, "tempograph_path"):
+            self.scratch.drop(sets)
+        return out
+
+    def similar(self) -> DataFrame:
+        """d, l, d0, l0: every class that has an earlier similar one, with the earliest."""
+        s, lists = self.scratch, self.lists()
+        found = self.verified(lists.where("hit"))
+        # lists in which something may stand between the first class, which was met, and a class or the match it has
+        later = lists.where("g > 2 and (d2 <> d or l2 <> l)").select("t", "d", "l", "n", "i", "b", "d2", "l2", (F.col("g") > SMALL).alias("long"))
+        short, long = later.where("not long").drop("long"), later.where("long").drop("long")
+        rest = self.earlier(short, short.drop("d2", "l2"), found).select("d", "l", "d2", "l2")
+        if not long.isEmpty():
+            # of these lines the sets are at hand, a sign that tells long lines apart, and all posted pairs
+            sets = self.sets(long.select("d", "l"))
+            posted = self.all.join(if_small(sets.select("d", "l").distinct()), ["d", "l"]).groupBy("d", "l", "n").agg(F.min("p").alias("p"))
+            part = lambda k: F.filter("w", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == k)
+            flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+            signs = sets.select("d", "l", *(F.aggregate(part(k), F.lit(0).cast("long"), flip).alias(f"s{k}") for k in range(WIDE)))
+            long = s.save(long.join(signs, ["d", "l"]).join(posted, ["d", "l", "n"]), "long")
+            found = self.rounds(long, sets, found)
+            rest = rest.unionByName(self.earlier(long, long.drop("d2", "l2"), found).select("d", "l", "d2", "l2"))
+        more = self.verified(rest)
+        return s.save(found.unionByName(more).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*"), "similar")
+
+    def rounds(self, long: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+        """``found`` with matches of classes in long lists: those without one meet the first of them, as long as that helps many."""
+        s, posting = self.scratch, [c for c in long.columns if c not in ("t", "d2", "l2", "p")]
+        open_ = s.save(long.drop("d2", "l2", "p").join(if_small(found.select("d", "l")), ["d", "l"], "left_anti"), "open")
+        while True:
+            heads = open_.groupBy("t").agg(F.count("*").alias("g"), F.min(F.struct("d", "l", *(c for c in posting if c not in ("d", "l")))).alias("lead")).where(f"g > {SMALL}")
+            met = s.save(open_.hint("merge").join(heads.select("t", *(F.col(f"lead.{c}").alias(f"{c}2") for c in posting)), "t"), "met")
+            new = self.verified(met.where(self.near(wide=True)), sets)
+            many = new.count()
+            found = s.save(found.unionByName(new), "found") if many else found
+            if 32 * many <= met.count():  # no large group is left whose first line others haven't met
+                return found
+            # those without a match stay, but for the ones that the others have just met
+            rest = met.where("d <> d2 or l <> l2").select("t", *posting).join(if_small(new.select("d", "l")), ["d", "l"], "left_anti")
+            s.drop(open_)
+            open_ = s.save(rest, "open")
+            s.drop(met)
+
+    def earlier(self, rows: DataFrame, others: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs in ``rows``' lists that pass the filters and are earlier than the match that a class has.  In long lists two lines meet
+        under the first pair of words that they share, and not under the others again."""
+        have = rows.join(if_small(found.withColumnsRenamed({"d0": "d3", "l0": "l3"})), ["d", "l"], "left")
+        have = have.where(F.col("d3").isNull() | before("d2", "l2", "d3", "l3")).drop("d2", "l2")
+        others = others.select("t", *(F.col(c).alias(f"{c}2") for c in others.columns if c != "t"))
+        long = "p" in rows.columns
+        fits = self.near(wide=long) & (F.col("d3").isNull() | before("d2", "l2", "d3", "l3"))
+        if long:
+            fits = fits & ~F.arrays_overlap(F.slice("p", F.lit(1), F.col("i").cast("int")), F.slice("p2", F.lit(1), F.col("i2").cast("int")))
+        return have.hint("merge").join(others, "t").where(fits)
 
-    done = scratch.save(verified(scratch.save(star, "star")), "matched")
-    open_ = long_.join(if_small(done.select("d", "l")), ["d", "l"], "left_anti")
-    others = long_.select("t", F.struct("d", "l", "n", "i", "b").alias("o"))
-    rest = open_.hint("merge").join(others, "t").where(near(F.col("o"))).select("d", "l", F.col("o.d").alias("d2"), F.col("o.l").alias("l2")).distinct()
-    more = verified(scratch.save(rest, "rest"))
-    alike = scratch.save(done.unionByName(more), "alike")
 
+def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """d, l, d0, l0: the lines to be removed, each with the earliest line that it matches."""
+    lines = Lines(docs, scratch, num, den)
+    alike = lines.similar()
     # what holds for the first line of a set holds for all lines with it
-    slim = lines.select("d", "l", "key")
-    keys = slim.join(if_small(alike), ["d", "l"]).select("key", "d0", "l0")
-    copies = slim.join(if_small(keys, alike.count()), "key").select("d", "l", "d0", "l0")
-    same = slim.join(few, "key").where("d0 < d or d0 = d and l0 < l").select("d", "l", "d0", "l0")
+    slim = lines.all.select("d", "l", "key", "key2")
+    keys = scratch.save(slim.join(if_small(alike), ["d", "l"]).select("key", "key2", "d0", "l0"), "keys")
+    copies = slim.join(if_small(keys), ["key", "key2"]).select("d", "l", "d0", "l0")
+    same = slim.join(lines.few, ["key", "key2"]).where(before("d0", "l0", "d", "l")).select("d", "l", "d0", "l0")
     out = copies.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*")
     return scratch.save(out, "removed")
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, line, match_doc_id, match_line of every line to be removed, with the earliest line found that it matches."""
+    """doc_id, line, match_doc_id, match_line of every line to be removed, with the earliest line that it matches."""
     out = matches(docs, Scratch(docs.sparkSession, "lines"), num, den)
     return out.select(F.col("d").alias("doc_id"), F.col("l").alias("line"), F.col("d0").alias("match_doc_id"), F.col("l0").alias("match_line"))
 

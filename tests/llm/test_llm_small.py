@@ -133,10 +133,15 @@ def test_hamming(spark):
 # ---------------------------------------------------------------- 2
 
 
-def brute_lines(rows):
+def brute_matches(rows, num=4, den=5):
     lines = [(i, n, frozenset(w for w in re.split(r"[ \t\x0b\x0c\r]", line) if w)) for i, t in rows if i is not None for n, line in enumerate((t or "").split("\n"))]
     lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
-    return {(i, n) for k, (i, n, s) in enumerate(lines) for j, m, t in lines[:k] if 5 * len(s & t) >= 4 * len(s | t)}
+    first = lambda k, s: next(((j, m) for j, m, t in lines[:k] if den * len(s & t) >= num * len(s | t)), None)
+    return {(i, n): at for k, (i, n, s) in enumerate(lines) if (at := first(k, s))}
+
+
+def brute_lines(rows):
+    return set(brute_matches(rows))
 
 
 def line_docs(seed):
@@ -154,12 +159,38 @@ def line_docs(seed):
     return rows + [(None, rows[0][1]), (50, None), (51, ""), (52, "\n\n \n"), (53, "x " * 5000)]
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 32), (2, 2), (3, 1)])
-def test_lines(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize(("seed", "small", "hot", "num", "den"), [(1, 64, 10**6, 4, 5), (2, 2, 10**6, 4, 5), (3, 1, 1, 4, 5), (4, 1, 2, 3, 4), (5, 3, 10**6, 9, 10), (6, 64, 1, 1, 1)])
+def test_lines(spark, monkeypatch, seed, small, hot, num, den):
     monkeypatch.setattr(linededup, "SMALL", small)
+    monkeypatch.setattr(linededup, "HOT", hot)
     rows = line_docs(seed)
-    got = {(r.doc_id, r.line) for r in linededup.removed_lines(docs_of(spark, rows)).collect()}
-    assert got == brute_lines(rows)
+    got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in linededup.removed_lines(docs_of(spark, rows), num, den).collect()}
+    assert got == brute_matches(rows, num, den)
+
+
+def test_lines_of_one_group(spark, monkeypatch):
+    """Variants of a line, some of them near no earlier one but the group's later ones, in lists of any length."""
+    rng = random.Random(8)
+    base_ = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        w = list(base_)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(30)] = rng.choice(WORDS)
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join([*base_[:24], *(f"q{i}x{j}" for j in range(i % 9))])) for i in range(60, 110)]
+    want = brute_matches(rows)
+    assert len({m for m in want.values()}) > 3
+    for small in (1, 4, 64):
+        monkeypatch.setattr(linededup, "SMALL", small)
+        got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in linededup.removed_lines(docs_of(spark, rows)).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (2, 3), (6, 5)])
+def test_lines_refuse_other_thresholds(spark, num, den):
+    with pytest.raises(ValueError, match="threshold"):
+        linededup.removed_lines(docs_of(spark, [(1, "a b")]), num, den)
 
 
 def test_lines_leave_texts(spark):
