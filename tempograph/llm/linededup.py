@@ -44,20 +44,24 @@ CLIP = 32_767
 _BLANK = "\t\x0b\x0c\r"
 
 
-def word_hashes(line: Column) -> Column:
-    """Distinct hashes of a line's words."""
+def _words(line: Column) -> Column:
     odd = F.lit(False)
     for c in _BLANK:
         odd = odd | F.contains(line, F.lit(c))
-    parts = F.split(F.when(odd, F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
-    return F.array_remove(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))), F.expr("xxhash64('')"))
+    return F.split(F.when(odd, F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
+
+
+def word_hashes(line: Column) -> Column:
+    """Distinct hashes of a line's words."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.expr("xxhash64('')"))
 
 
-def ordered(words: Column, rarity: list[int]) -> Column:
-    """The hashes in the global order: 6 bits of the cell's logarithmic count before 57 bits of the hash."""
+def ordered(line: Column, rarity: list[int]) -> Column:
+    """Distinct hashes of a line's words in the global order: 6 bits of the cell's logarithmic count before 57 bits of the hash."""
     table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<long>")  # a constant, folded once
-    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.sort_array(F.transform(words, key))
+    cell = lambda h: F.get(table, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int"))
+    key = lambda w: F.shiftleft(cell(F.xxhash64(w)), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), key)), key(F.lit(""))))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -81,17 +85,18 @@ class Lines:
         if not 3 * den <= 4 * num <= 4 * den:
             raise ValueError("the threshold must be from 3/4 to 1")
         self.docs, self.scratch, self.num, self.den = docs, scratch, num, den
-        cells = docs.where("doc_id is not null").select(F.explode(F.split("text", "[ \n]")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
+        cells = docs.where("doc_id is not null").select(F.explode(F.split("text", " ")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
         rarity = [0] * (1 << CELL_BITS)
         for c, n in cells.groupBy("c").count().select("c", F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
             rarity[c] = min(n, 62) + 1
-        lines = once(lines_of(docs), "w", ordered(word_hashes(F.col("line")), rarity)).drop("line")
+        lines = once(lines_of(docs), "w", ordered(F.col("line"), rarity)).drop("line")
         lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w"), "key2": F.xxhash64(F.lit(2), "w")}).where("n > 0")
         many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
         # 48 bits of a pair's hash are enough to meet
         pairs = F.zip_with(F.slice("w", F.lit(1), many), F.slice("w", F.lit(2), many), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 16))
-        # one bit for each word's parity in 48: unlike sets differ in about half of them
-        sign = F.aggregate("w", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(0xFFFF)) % 48).cast("int"))))
+        # one bit for the parity of the words in each of 64 cells, of which 48 are kept: unlike sets differ in about half of them
+        flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+        sign = F.aggregate("w", F.lit(0).cast("long"), flip).bitwiseAND(F.lit((1 << 48) - 1))
         # of fewer words than num / (den - num) no two different sets are similar enough
         able = F.col("n") * (den - num) >= num
         self.all = scratch.save(lines.select("d", "l", "key", "key2", "n", *(F.when(able, c).alias(name) for c, name in ((pairs, "p"), (sign, "b")))), "lines")
@@ -125,9 +130,11 @@ class Lines:
         hot = [r.c for r in posts.groupBy(cell.alias("c")).count().where(F.col("count") >= HOT).select("c").collect()]  # 65,536 cells at most
         apart = lambda df: df.select(low(F.col("ti")).alias("t"), "d", "l", F.shiftrightunsigned("nb", 48).alias("n"), F.shiftrightunsigned("ti", 48).alias("i"), low(F.col("nb")).alias("b"))
         lead = F.min(F.struct("d", "l", "n", "i", "b"))
-        word = Window.partitionBy("t")
+        # most pairs of words are there once: a count finds the others before any sort, in the same exchange, which is the same one only
+        # while both its readers need all its columns
         cold = apart((posts.where(~cell.isin(hot)) if hot else posts).repartition(low(F.col("ti"))))
-        out = cold.withColumns({"g": F.count("*").over(word), "lead": lead.over(word)}).where("g > 1")
+        often = cold.groupBy("t").agg(F.count("*").alias("g"), *(F.max(c).alias(f"{c}2") for c in "dlnib")).where("g > 1 and n2 > 0 and i2 + l2 >= 0 and d2 is not null and b2 is not null").select("t", "g")
+        out = cold.join(often.hint("shuffle_hash"), "t").withColumn("lead", lead.over(Window.partitionBy("t"))).select(*cold.columns, "g", "lead")
         if hot:
             large = apart(posts.where(cell.isin(hot)))
             heads = large.groupBy("t").agg(F.count("*").alias("g"), lead.alias("lead")).where("g > 1")
@@ -154,7 +161,7 @@ class Lines:
         sets = self.sets(pairs.select("d", "l").union(pairs.select("d2", "l2"))) if own else sets
         a, b = sets.withColumnRenamed("w", "a"), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("w").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
-        found = pairs.join(a, ["d", "l"]).join(b, ["d2", "l2"]).where(self.den * both >= self.num * (F.size("a") + F.size("b") - both))
+        found = a.join(if_small(pairs), ["d", "l"]).join(b, ["d2", "l2"]).where(self.den * both >= self.num * (F.size("a") + F.size("b") - both))
         out = self.scratch.save(found.groupBy("d", "l").agg(F.min(F.struct("d2", "l2")).alias("at")).select("d", "l", F.col("at.d2").alias("d0"), F.col("at.l2").alias("l0")), "found")
         self.scratch.drop(pairs)
         if own and hasattr(sets, "tempograph_path"):
@@ -178,8 +185,11 @@ class Lines:
             signs = sets.select("d", "l", *(F.aggregate(part(k), F.lit(0).cast("long"), flip).alias(f"s{k}") for k in range(WIDE)))
             long = s.save(long.join(signs, ["d", "l"]).join(posted, ["d", "l", "n"]), "long")
             found = self.rounds(long, sets, found)
+            if hasattr(sets, "tempograph_path"):
+                s.drop(sets)
             rest = rest.unionByName(self.earlier(long, long.drop("d2", "l2"), found).select("d", "l", "d2", "l2"))
         more = self.verified(rest)
+        s.drop(lists)
         return s.save(found.unionByName(more).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*"), "similar")
 
     def rounds(self, long: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
