@@ -1,6 +1,6 @@
 """Whole-text token ids from a public tokenizer file, with a store of the ids of chunks that were met before.
 
-The tokenizers library encodes each distinct chunk once for a worker.  A text is cut only where the tokenizer's own
+The tokenizers library encodes each distinct chunk once for a worker; chunks are found by a hash and told apart by their bytes.  A text is cut only where the tokenizer's own
 pre-tokenizer always cuts, so that joining the chunks' ids gives the ids of the whole text:
 
 * before a blank or line feed that a character other than white space follows, and after such a line feed (white space
@@ -63,6 +63,14 @@ def cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:n])
 
 
+def _same(raw: np.ndarray, begin: np.ndarray, other: np.ndarray, lead: np.ndarray, lens: np.ndarray) -> bool:
+    """Whether the segments of ``raw`` at ``begin`` hold the bytes of ``other`` at ``lead``."""
+    if not len(lens):
+        return True
+    within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    return bool((raw[np.repeat(begin, lens) + within] == other[np.repeat(lead, lens) + within]).all())
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned ids of 2 bytes (vocabularies below 65,536) or 4 bytes."""
 
@@ -74,6 +82,8 @@ class Encoder:
         self.special = [str(t.content).encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.kind)
+        # the bytes of the chunks that are remembered
+        self.text, self.text_at, self.text_len = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many chunks joined, and how many each has."""
@@ -93,17 +103,29 @@ class Encoder:
         known = np.zeros(len(one), bool)
         if len(self.keys):
             known = self.keys[spot.clip(max=len(self.keys) - 1)] == one
+        # equal hashes must mean equal bytes, within this batch and in what is remembered
+        lead = begin[where][back]
+        if (lens != lens[where][back]).any() or not _same(raw, begin, raw, lead, lens):
+            return self._plain(raw, off)
+        seen = spot[known]
+        if (lens[where[known]] != self.text_len[seen]).any() or not _same(raw, begin[where[known]], self.text, self.text_at[seen], self.text_len[seen]):
+            return self._plain(raw, off)
         at, count = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-        at[known], count[known] = self.at[spot[known]], self.count[spot[known]]
+        at[known], count[known] = self.at[seen], self.count[seen]
         flat = self.flat
         if not known.all():
             new = np.flatnonzero(~known)
             data = raw.tobytes()
-            ids, many = self._each([data[begin[i] : begin[i] + lens[i]].decode() for i in where[new].tolist()])
+            chunks = [data[begin[i] : begin[i] + lens[i]] for i in where[new].tolist()]
+            ids, many = self._each([c.decode() for c in chunks])
             at[new], count[new] = len(flat) + np.cumsum(many) - many, many
             flat = np.concatenate([flat, ids])
             if len(self.keys) < MEMO:
+                size = lens[where[new]]
                 self.at, self.count = np.insert(self.at, spot[new], at[new]), np.insert(self.count, spot[new], many)
+                self.text_at = np.insert(self.text_at, spot[new], len(self.text) + np.cumsum(size) - size)
+                self.text_len = np.insert(self.text_len, spot[new], size)
+                self.text = np.concatenate([self.text, np.frombuffer(b"".join(chunks), np.uint8)])
                 self.keys, self.flat = np.insert(self.keys, spot[new], one[new]), flat
         many = count[back]
         each = np.add.reduceat(many, np.searchsorted(begin, off[:-1]).clip(max=len(begin) - 1))
@@ -116,6 +138,13 @@ class Encoder:
                 return self._with_special(data, off, out, each)
         return out, each
 
+    def _plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library alone."""
+        data = raw.tobytes()
+        texts = [data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        parts = [np.array(e.ids, self.kind) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
     def _with_special(self, data: bytes, off: np.ndarray, out: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts, ends = [], np.concatenate([[0], np.cumsum(each)])
         for i in range(len(off) - 1):
