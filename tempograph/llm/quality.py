@@ -3,7 +3,9 @@ text is compressed with each in independent pieces, and the normalised differenc
 probability.
 
 Half of the labelled sample makes the dictionaries, the other half calibrates, and both come from rows outside the held-out
-fold.  The sample is bounded by ``per_class`` (4,000 rows of each label by default); every text is scored whole.
+fold.  The sample is bounded by ``per_class`` (4,000 rows of each label by default) and ``row_bytes`` (16,384 bytes of a row, in pieces
+from all over the text); every text is scored whole.  The calibration also sees how long a text is, as a difference of a few bytes says little
+about a short text.
 
 Defined results: a null or empty text compresses to nothing and gets the calibrated score of a difference of 0; with
 no labels of one kind every score is the share of label 1; repeated rows are scored each; further columns are ignored or, in
@@ -24,8 +26,8 @@ from tempograph.llm.textbytes import slices
 
 #: bytes of a piece that is compressed by itself, so that the dictionary and not the text's own past decides
 PIECE = 1024
-#: bytes of a dictionary, and of the text that one labelled row gives to it
-DICTIONARY, SHARE = 112_640, 16_384
+#: bytes of a dictionary
+DICTIONARY = 112_640
 
 
 def _compressor(dictionary: bytes):
@@ -65,7 +67,7 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> dict | None:
         half[np.flatnonzero(y == label)[::2]] = True
     made = []
     for label in (1, 0):
-        own = [t.encode()[a : a + PIECE] for t, l, h in zip(texts, y, half, strict=True) if l == label and h for a in range(0, min(len(t.encode()), SHARE), PIECE)]
+        own = [t.encode()[a : a + PIECE] for t, l, h in zip(texts, y, half, strict=True) if l == label and h for a in range(0, len(t.encode()), PIECE)]
         own = [p for p in own if len(p) >= 16]
         try:
             made.append(z.train_dictionary(DICTIONARY, own, level=3).as_bytes())
@@ -87,14 +89,14 @@ def scorer(model: dict | None, share: float) -> Callable[[list[str | None]], np.
     return lambda texts: sigmoid(model["b"] + features(texts, good, bad) @ model["w"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000) -> tuple[dict | None, float]:
-    texts, y, share = sample(docs, labels, label, per_class)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, row_bytes: int = 16_384) -> tuple[dict | None, float]:
+    texts, y, share = sample(docs, labels, label, per_class, row_bytes)
     return fit(texts, y, share), share
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = 4000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = 4000, row_bytes: int = 16_384) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    model, share = train(docs, labels, label, per_class)
+    model, share = train(docs, labels, label, per_class, row_bytes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer(model, share)
@@ -105,9 +107,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     return docs.select("doc_id", "text", (fold_of("doc_id") == 0).alias("held_out")).mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = 4000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = 4000, row_bytes: int = 16_384) -> DataFrame:
     """The rows of ``docs``, all their columns as they are, whose score reaches the threshold."""
-    model, share = train(docs, labels, label, per_class)
+    model, share = train(docs, labels, label, per_class, row_bytes)
     where = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

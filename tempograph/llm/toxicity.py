@@ -1,8 +1,10 @@
 """Operator 6: toxicity by a linear classifier over character n-grams.  A hashed n-gram's presence is scaled by its naive Bayes
 log-count ratio, and a logistic regression is fitted on the scaled features of labelled text.
 
-The sample is bounded by ``per_class`` (2,000 rows of each label by default) and comes from rows outside the held-out
-fold; every text is scored whole.  A-Z count as lower case, white space as one kind of blank.
+The sample is bounded by ``per_class`` (2,000 rows of each label by default) and ``row_bytes`` (32,768 bytes of a row, in pieces from all
+over the text) and comes from rows outside the held-out fold; every text is scored whole.  Characters are code points; A-Z count as lower case,
+white space as one kind of blank.  N-grams are hashed to 2**SPACE_BITS numbers (what falls together counts together), of which
+the ``KEPT`` whose presence differs most surely between the labels have a weight.
 
 Defined results: a null or empty text has no n-grams and gets the intercept's score; with no labels of one kind every score
 is the share of label 1; repeated rows are scored each; further columns are ignored; an empty table gives no rows.
@@ -18,23 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm.labelled import fold_of, platt, prior_shift, sample, sigmoid
-from tempograph.llm.textbytes import _LANE, _VALUE, LOWER, SPACE, mix, slices, utf8
+from tempograph.llm.textbytes import _LANE, mix, slices
 
-#: hashed dimensions (a power of 2), n-gram lengths in bytes, features kept
+#: hashed dimensions (a power of 2), n-gram lengths in characters, features kept
 SPACE_BITS, ORDERS, KEPT = 20, (3, 4, 5, 6, 7, 8), 30_000
-_FOLD = LOWER.copy()
-_FOLD[SPACE] = 32
 
 
-def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: (text number, hashed n-gram) of every n-gram; a blank stands before and after each text."""
-    n = len(off) - 1
-    size = np.diff(off) + 2
-    at = np.concatenate([[0], np.cumsum(size)])
-    own = np.full(at[-1], 32, np.uint8)
-    text = np.repeat(np.arange(n), size)
-    own[np.arange(len(raw)) + 1 + 2 * np.repeat(np.arange(n), np.diff(off))] = _FOLD[raw]
-    value, total = _VALUE[own], np.zeros(len(own), np.uint64)
+    own = np.frombuffer("".join(f" {t or ''} " for t in texts).encode("utf-32-le", "replace"), np.uint32)
+    size = np.array([len(t or "") + 2 for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), size)
+    own = np.where((own >= 65) & (own <= 90), own + 32, own)
+    own = np.where((own >= 9) & (own <= 13), 32, own).astype(np.uint64)
+    value, total = mix(own), np.zeros(len(own), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(max(ORDERS)):
             if k >= len(own):
@@ -47,10 +46,10 @@ def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
                 yield text[:last][inside], h[inside].astype(np.int64)
 
 
-def present(raw: np.ndarray, off: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def present(texts: list[str | None], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature), each pair once; ``keep`` says which features count."""
     pairs = []
-    for text, h in grams(raw, off):
+    for text, h in grams(texts):
         if keep is not None:
             use = keep[h]
             text, h = text[use], h[use]
@@ -65,9 +64,9 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 100, ridge:
         return None
     dims = 1 << SPACE_BITS
     count = np.ones((2, dims))
-    parts = [(a, pa.array(texts[a : a + 100], pa.large_string())) for a in range(0, len(texts), 100)]
+    parts = [(a, texts[a : a + 100]) for a in range(0, len(texts), 100)]
     for a, part in parts:
-        text, f = present(*utf8(part), None)
+        text, f = present(part, None)
         for label in (0, 1):
             count[label] += np.bincount(f[y[a + text] == label], minlength=dims)
     rows = np.array([max(1, (y == label).sum()) for label in (0, 1)], float)
@@ -81,7 +80,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 100, ridge:
     keep[np.argsort(-z, kind="stable")[:KEPT]] = True
     keep &= z > 1.5
     spot = np.cumsum(keep) - 1
-    found = [(a + text, spot[f]) for a, part in parts for text, f in [present(*utf8(part), keep)]]  # only what is kept is held
+    found = [(a + text, spot[f]) for a, part in parts for text, f in [present(part, keep)]]  # only what is kept is held
     row, col = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
     del found
     scale = ratio[keep]
@@ -112,13 +111,13 @@ def scores(model: dict | None, share: float, col: pa.Array) -> np.ndarray:
     if model is None:
         return np.full(len(col), share)
     w = model["w"]
-    text, f = present(*utf8(col), w != 0)
+    text, f = present(col.to_pylist(), w != 0)
     return sigmoid(model["b"] + np.bincount(text, w[f], len(col)))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, per_class: int = 2000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, per_class: int = 2000, row_bytes: int = 32_768) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    texts, y, share = sample(docs, labels, label, per_class)
+    texts, y, share = sample(docs, labels, label, per_class, row_bytes)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y, share))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
