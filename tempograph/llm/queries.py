@@ -59,7 +59,7 @@ def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.passages(_table(spark, sf_dir, "documents"), least=50, k=8, similar=0.8)
+    return chains.passages(_table(spark, sf_dir, "documents"), least=50, k=5, similar=0.8)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
