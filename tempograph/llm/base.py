@@ -10,7 +10,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,33 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's component among 0..n-1 under the edges (a, b)."""
+    lab = np.arange(n)
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+#: edges (16 bytes each) up to which one task solves the rest of a graph
+ONE_TASK = 500_000
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        lab = labels_of(len(ids), at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[lab])], ["id", "component_id"])
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (id, component_id), component_id the smallest id reachable.
 
@@ -81,13 +111,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     that have an edge to another id appear.  Alternating small-star and large-star rounds: each round is two
     aggregates with map-side combining and two joins whose both sides are exchanged (so that AQE can split a hub's
     partition); no vertex's neighbours are ever gathered into one row, and nothing but one count and one checksum per round
-    reaches the driver.
+    reaches the driver.  A graph of at most ``ONE_TASK`` edges, from the start or after some rounds, is solved in one task.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = scratch.save(e.distinct(), "edges")
     print_of = lambda t: t.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     before = print_of(e)
-    while before[0]:
+    while before[0] > ONE_TASK:
         # small-star: each vertex's smaller neighbours move to the smallest of them
         least = scratch.save(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = scratch.save(
@@ -103,7 +133,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(least, small)
         now = print_of(e)
         if now == before:
-            break
+            roots = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            return roots.union(roots.select(F.col("component_id").alias("id"), "component_id").distinct())
         before = now
-    roots = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-    return roots.union(roots.select(F.col("component_id").alias("id"), "component_id").distinct())
+    return scratch.save(e.repartition(1).mapInArrow(_solve, "id long, component_id long"), "components")

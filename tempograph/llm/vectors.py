@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.base import Scratch, components, plan_bytes
+from tempograph.llm.base import Scratch, components, labels_of, plan_bytes
 from tempograph.llm.textbytes import mix
 
 #: vectors of a bucket that one task compares with as many others
@@ -97,20 +97,6 @@ def usable(v: str = "embedding") -> F.Column:
     return F.coalesce(F.forall(v, ok) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each one's component among 0..n-1 under the edges (a, b)."""
-    lab = np.arange(n)
-    while True:
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _compare(ids, label, copies, x, key, side, at_least, tables, probes):
     """Links and forest edges of one block: (ids, links, root ids)."""
     n = len(ids)
@@ -141,7 +127,7 @@ def _compare(ids, label, copies, x, key, side, at_least, tables, probes):
     order = np.argsort(ids, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    root = order[_labels(n, place[a], place[b])][place]
+    root = order[labels_of(n, place[a], place[b])][place]
     say = (links > 0) | (root != np.arange(n))
     return ids[say], links[say].astype(np.int64), ids[root][say]
 

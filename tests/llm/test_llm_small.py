@@ -57,7 +57,9 @@ def union_find(pairs, ids):
 # ---------------------------------------------------------------- shared parts
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, base.ONE_TASK])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(base, "ONE_TASK", one_task)
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 3)]
     s = base.Scratch(spark, "t")
     got = {r.id: r.component_id for r in base.components(s, spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -330,6 +332,19 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, labels.where("y = 1"), "y").select("score").distinct().collect()} == {1.0}
 
 
+def test_labelled_sample_is_bounded(spark):
+    from tempograph.llm import labelled
+
+    docs = spark.range(5000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    docs = docs.unionByName(docs_of(spark, [(i, "x" * 100) for i in range(10, 60)], clash=False).select("doc_id", "text")).unionByName(docs_of(spark, [(3, "é" * 60_000)], clash=False).select("doc_id", "text"))
+    labels = docs.select("doc_id").distinct().withColumn("y", (F.col("doc_id") % 2).cast("int"))
+    got, y, _ = labelled.sample(docs, labels, "y", 20, 8192)
+    assert len(got) == len(y) <= 40 and max(len(t.encode()) for t in got) <= 8192 + 8
+    assert sum(t.startswith("t") for t in got) <= 1
+    text = "".join(chr(97 + i // 1000) for i in range(20_000))
+    assert set(labelled.spread(text, 16_384)) - {"\n"} == set(text) and labelled.spread("abc", 16_384) == "abc"
+
+
 def test_toxicity(spark):
     mild = lambda r: " ".join(r.choice(WORDS) for _ in range(r.randint(20, 80)))
     rude = lambda r: mild(r) + " " + r.choice(["scoundrel", "Scoundrels"]) + " " + mild(r)
@@ -420,6 +435,40 @@ def test_passages_of_copies_in_any_order(spark):
     assert got == {(30, 10), *((i, 10) for i, _ in more)}
 
 
+def test_passages_whose_parts_have_older_homes(spark, monkeypatch):
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    first, second = words(60), words(60)
+    rows = [(i, [*words(20), *first[8 * i : 8 * i + 20], *words(20)]) for i in range(6)]
+    rows += [(10, [*words(30), *second[:34], *words(30)]), (11, [*words(30), *second[26:], *words(30)])]
+    rows += [(100, [*words(10), *first, *words(30), *second]), (101, [*words(40), *first, *words(10)]), (102, [*words(5), *second, *words(9)])]
+    for small, hot in ((24, 10**6), (24, 1), (1, 10**6)):
+        monkeypatch.setattr(chains, "SMALL", small)
+        monkeypatch.setattr(chains, "HOT", hot)
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        for docs in (df.coalesce(1), df.repartition(3)):
+            got = {(r.doc_id, r.other_id): (r.start_word, r.end_word) for r in chains.passages(docs).collect()}
+            assert got == {(101, 100): (40, 100), (102, 100): (5, 65)}
+
+
+def test_passages_with_changed_words(spark):
+    """Of passages of 60 words that occur twice, with changed words at random: how many are found."""
+    rng = random.Random(13)
+    words = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for i in range(240):
+        passage, changed = words(60), (0, 3, 6, 9)[i % 4]
+        other = list(passage)
+        for at in rng.sample(range(60), changed):
+            other[at] = words(1)[0]
+        rows += [(2 * i, " ".join(words(30) + passage + words(20))), (2 * i + 1, " ".join(words(15) + other + words(40)))]
+        kinds[2 * i + 1] = changed
+    got = {(r.doc_id, r.other_id) for r in chains.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(other == doc - 1 for doc, other in got)
+    found = {n: sum((d, d - 1) in got for d, m in kinds.items() if m == n) / 60 for n in (0, 3, 6, 9)}
+    assert found[0] == 1 and found[3] >= 0.95 and found[6] >= 0.9, found
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -458,6 +507,40 @@ def test_long_posting_lists_lose_nothing():
     t = pa.table(dict(zip(["names", "sizes", "counts", "hashes"], (pa.array(c, pa.binary()) for c in cols), strict=True)))
     whole = jaccard._bucket(t, 1, 2).to_pylist()
     assert {(r["a"], r["b"]) for r in whole if not r["long"]} == {(a, b) for a in range(30) for b in range(a + 1, 30) if 2 * min(len(sets[a]), len(sets[b])) >= max(len(sets[a]), len(sets[b])) and len(np.intersect1d(sets[a], sets[b]))}
-    a, b = jaccard.Trie(sets).links(6, 10)
+    a, b = jaccard.Trie(sets, jaccard.Order(np.arange(10, dtype=np.uint64), np.arange(10, 20))).links(6, 10)
     want = union_find([(x, y) for x in range(30) for y in range(x) if 10 * len(np.intersect1d(sets[x], sets[y])) >= 6 * len(np.union1d(sets[x], sets[y]))], range(30))
     assert union_find(zip(a, b, strict=True), range(30)) == want
+
+
+# ---------------------------------------------------------------- hashes
+
+
+def thue_morse(n):
+    """Two words of n letters whose sums of values times powers of any odd number are equal modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(1024)
+    e = tokens.Encoder("word_bpe_49k.json")
+    want = [t.ids for t in e.tok.encode_batch([x, y], add_special_tokens=False)]
+    assert want[0] != want[1]
+    for batch, ids in (([x, y], want), ([y], want[1:]), ([y, x, x], [want[1], want[0], want[0]])):
+        got, many = e.encode(*utf8(pa.array(batch)))
+        assert np.split(got, np.cumsum(many)[:-1]) and [g.tolist() for g in np.split(got, np.cumsum(many)[:-1])] == ids
+    rows = [(1, x), (2, y), (3, x)]
+    got = {r.doc_id: r.ids_crc32 for r in wavelet.round_trip(docs_of(spark, rows), "word_bpe_49k.json", 2).collect()}
+    assert got == {i: crc(ids) for i, ids in ids_of("word_bpe_49k.json", rows, 2)}
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack(docs_of(spark, rows), "byte_bpe_50k.json").collect()}
+    assert got == {i: crc(ids) for i, ids in ids_of("byte_bpe_50k.json", rows, 0)}
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs_of(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    """Even if all chunks of one length had the same hash."""
+    monkeypatch.setattr(tokens, "segment_hashes", lambda raw, starts, lens: lens.astype(np.uint64))
+    e = tokens.Encoder("byte_bpe_50k.json")
+    for batch in (["one two six"], ["ten"], ["two one"], ["", "ten one"]):
+        ids, many = e.encode(*utf8(pa.array(batch)))
+        assert ids.tolist() == [i for t in e.tok.encode_batch(batch, add_special_tokens=False) for i in t.ids] and len(many) == len(batch)
