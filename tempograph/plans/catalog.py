@@ -226,16 +226,8 @@ def cap_length(s: Source) -> DataFrame:
     return s.detections.select("session_id", "event_id", "s", F.least("e", F.col("s") + DEFAULTS.zoom_max).alias("e"))
 
 
-@query(f"WITH {_ZOOMED} SELECT session_id, s, e, zoom FROM hit WHERE seg_s % 2 = 0")
+@query(f"WITH {_ZOOMED} SELECT session_id, s, e, zoom FROM hit")
 def clip_to_bounds(s: Source) -> DataFrame:
-    seen = s.layout.where("layout in ('pip', 'screen_full') and s % 2 = 0").withColumnsRenamed({"s": "lo", "e": "hi"})
-    z = intervals.overlap_join(seen, s.zooms, "lo", "hi", "s", "e").select("session_id", "lo", "hi", F.array(F.struct("s", "e", "zoom", "cx", "cy")).alias("z"))
-    return z.select("session_id", F.explode(intervals.clip_zooms(F.col("z"), F.col("lo"), F.col("hi"))).alias("c")).select("session_id", "c.s", "c.e", "c.zoom")
-
-
-@query()
-def clip_to_bounds_whole(s: Source) -> DataFrame:
-    """clip_to_bounds of all segments; that one's SQL keeps even starts only."""
     seen = s.layout.where("layout in ('pip', 'screen_full')").withColumnsRenamed({"s": "lo", "e": "hi"})
     z = intervals.overlap_join(seen, s.zooms, "lo", "hi", "s", "e").select("session_id", "lo", "hi", F.array(F.struct("s", "e", "zoom", "cx", "cy")).alias("z"))
     return z.select("session_id", F.explode(intervals.clip_zooms(F.col("z"), F.col("lo"), F.col("hi"))).alias("c")).select("session_id", "c.s", "c.e", "c.zoom")
@@ -341,18 +333,11 @@ def scene_centroid(s: Source) -> DataFrame:
 
 
 _NEAREST = """(SELECT h.session_id, h.hint_id, h.s, m.t_us AS mt, m.x, m.y, row_number() OVER (PARTITION BY h.hint_id ORDER BY abs(m.t_us - h.s), m.t_us, m.row_seq) AS r
- FROM @hints h LEFT JOIN (SELECT * FROM @cursor_sparse c WHERE event = 'move' AND row_seq % 7 = 0) m ON m.session_id = h.session_id)"""
+ FROM @hints h LEFT JOIN (SELECT * FROM @cursor_sparse c WHERE event = 'move') m ON m.session_id = h.session_id)"""
 
 
 @query(f"SELECT session_id, hint_id AS point_id, s AS t_us, CASE WHEN mt - s <= 500000 THEN mt END AS mt, CASE WHEN mt - s <= 500000 THEN x END AS x, CASE WHEN mt - s <= 500000 THEN y END AS y FROM {_NEAREST} q WHERE r = 1")
 def asof_nearest(s: Source) -> DataFrame:
-    points = s.hints.select("session_id", F.col("hint_id").alias("point_id"), F.col("s").alias("t_us"))
-    return joins.asof_nearest(points, s.cursor_sparse.where("event = 'move' and row_seq % 7 = 0"))
-
-
-@query()
-def asof_nearest_whole(s: Source) -> DataFrame:
-    """asof_nearest among all moves; that one's SQL keeps every seventh row."""
     points = s.hints.select("session_id", F.col("hint_id").alias("point_id"), F.col("s").alias("t_us"))
     return joins.asof_nearest(points, s.cursor_sparse.where("event = 'move'"))
 
@@ -361,12 +346,6 @@ def asof_nearest_whole(s: Source) -> DataFrame:
  CASE WHEN q.mt - h.s <= 500000 THEN q.x ELSE 0.5 END AS cx, CASE WHEN q.mt - h.s <= 500000 THEN q.y ELSE 0.5 END AS cy
 FROM @hints h JOIN @durations d ON d.session_id = h.session_id JOIN {_NEAREST} q ON q.hint_id = h.hint_id AND q.r = 1 WHERE least(h.e, d.duration) > h.s""")
 def hints_to_zooms(s: Source) -> DataFrame:
-    return joins.hints_to_zooms(s.hints, s.cursor_sparse.where("event = 'move' and row_seq % 7 = 0"), s.durations)
-
-
-@query()
-def hints_to_zooms_whole(s: Source) -> DataFrame:
-    """hints_to_zooms among all moves; that one's SQL keeps every seventh row."""
     return joins.hints_to_zooms(s.hints, s.cursor_sparse.where("event = 'move'"), s.durations)
 
 
@@ -393,15 +372,8 @@ def crop_lookup(s: Source) -> DataFrame:
 
 
 @query("""SELECT c.session_id, c.clip_id, c.f AS first, c.l AS last, coalesce(string_agg(trim(t.text), ' ' ORDER BY t.idx), '') AS text
-FROM (SELECT session_id, idx AS clip_id, idx AS f, idx + idx % 4 AS l FROM @sents q WHERE idx % 5 = 0) c LEFT JOIN @sents t ON t.session_id = c.session_id AND t.idx >= c.f AND t.idx < c.l GROUP BY ALL""")
+FROM (SELECT session_id, idx AS clip_id, idx AS f, idx + idx % 4 AS l FROM @sents q) c LEFT JOIN @sents t ON t.session_id = c.session_id AND t.idx >= c.f AND t.idx < c.l GROUP BY ALL""")
 def clip_transcript(s: Source) -> DataFrame:
-    clips = s.sents.where("idx % 5 = 0").selectExpr("session_id", "idx as clip_id", "idx as first", "idx + idx % 4 as last")
-    return joins.clip_transcript(clips, s.sents)
-
-
-@query()
-def clip_transcript_whole(s: Source) -> DataFrame:
-    """clip_transcript of the clips from every sentence; that one's SQL takes every fifth."""
     clips = s.sents.selectExpr("session_id", "idx as clip_id", "idx as first", "idx + idx % 4 as last")
     return joins.clip_transcript(clips, s.sents)
 
@@ -747,15 +719,8 @@ def ass_time(s: Source) -> DataFrame:
     return s.table("events").select("event_id", T.ass_time(F.floor(F.col("value") * 30_000_000).cast("long")).alias("t"))
 
 
-@query(f"WITH {_WORDS} SELECT session_id, string_agg(concat('{{\\kf', greatest(1, CAST(round_even((e - s)::DOUBLE / 10000, 0) AS BIGINT)), '}}', word), ' ' ORDER BY word_idx) AS line FROM words WHERE word_idx < 12 GROUP BY session_id")
+@query(f"WITH {_WORDS} SELECT session_id, string_agg(concat('{{\\kf', greatest(1, CAST(round_even((e - s)::DOUBLE / 10000, 0) AS BIGINT)), '}}', word), ' ' ORDER BY word_idx) AS line FROM words GROUP BY session_id")
 def karaoke_line(s: Source) -> DataFrame:
-    w = words_of(s).where("word_idx < 12").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "s", "e"))).alias("w"))
-    return w.select("session_id", F.array_join(F.transform("w", lambda x: T.karaoke(x["word"], x["s"], x["e"])), " ").alias("line"))
-
-
-@query()
-def karaoke_line_whole(s: Source) -> DataFrame:
-    """karaoke_line of whole texts; that one's SQL keeps their first 12 words."""
     w = words_of(s).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "s", "e"))).alias("w"))
     return w.select("session_id", F.array_join(F.transform("w", lambda x: T.karaoke(x["word"], x["s"], x["e"])), " ").alias("line"))
 

@@ -1,4 +1,4 @@
-"""Queries of whole jobs whose namesakes' SQL keeps a part of the rows, against brute force on the smallest tables."""
+"""Queries over whole tables and whole texts against brute force on the smallest tables."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def rows_of(spark, name):
 
 
 def test_asof_nearest(spark, nearest):
-    got = {r.point_id: (r.mt, r.x, r.y) for r in rows_of(spark, "asof_nearest_whole")}
+    got = {r.point_id: (r.mt, r.x, r.y) for r in rows_of(spark, "asof_nearest")}
     assert got == nearest
 
 
@@ -49,7 +49,7 @@ def test_hints_to_zooms(spark, source, nearest):
         if h.session_id in ends and min(h.e, ends[h.session_id]) > h.s:
             _, x, y = nearest[h.hint_id]
             want[h.hint_id] = (h.s, min(h.e, ends[h.session_id]), {"soft": 1.25, "strong": 1.7}.get(h.strength, 1.5), 0.5 if x is None else x, 0.5 if y is None else y)
-    assert {r.hint_id: (r.s, r.e, r.zoom, r.cx, r.cy) for r in rows_of(spark, "hints_to_zooms_whole")} == want
+    assert {r.hint_id: (r.s, r.e, r.zoom, r.cx, r.cy) for r in rows_of(spark, "hints_to_zooms")} == want
 
 
 def test_clip_to_bounds(spark, source):
@@ -61,13 +61,13 @@ def test_clip_to_bounds(spark, source):
         for z in zooms[lay.session_id]:
             if z.e > lay.s + 1 and z.s < lay.e - 1:
                 want[lay.session_id, max(z.s, lay.s), min(z.e, lay.e), z.zoom] += 1
-    assert Counter((r.session_id, r.s, r.e, r.zoom) for r in rows_of(spark, "clip_to_bounds_whole")) == want
+    assert Counter((r.session_id, r.s, r.e, r.zoom) for r in rows_of(spark, "clip_to_bounds")) == want
 
 
 def test_clip_transcript(spark, source):
     text = {(r.session_id, r.idx): r.text.strip(" ") for r in source.sents.collect()}
     want = {(d, i): " ".join(text[d, j] for j in range(i, i + i % 4) if (d, j) in text) for d, i in text}
-    assert {(r.session_id, r.clip_id): r.text for r in rows_of(spark, "clip_transcript_whole")} == want
+    assert {(r.session_id, r.clip_id): r.text for r in rows_of(spark, "clip_transcript")} == want
 
 
 def test_karaoke_line(spark, source):
@@ -77,7 +77,7 @@ def test_karaoke_line(spark, source):
         if w:
             want[r.doc_id] = " ".join(f"{{\\kf{max(1, 5 * len(x))}}}{x}" for x in w)
     assert max(len(v.split()) for v in want.values()) > 12
-    assert {r.session_id: r.line for r in rows_of(spark, "karaoke_line_whole")} == want
+    assert {r.session_id: r.line for r in rows_of(spark, "karaoke_line")} == want
 
 
 def test_fingerprint_of_long_texts(spark, tmp_path):
