@@ -29,7 +29,8 @@ def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, r
 
 def gather(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, on: str = "session_id", width: int = BUCKET) -> DataFrame:
     """Rows of ``left`` with ``hits``: the array, in order, of the structs of ``right`` (all columns but the session) whose
-    closed intervals meet them.  Every row stays, and ``left`` is read once, so plans of many steps stay small."""
+    closed intervals meet them.  Every row stays, equal rows as often as they are there, and ``left`` is read once, so plans of many
+    steps stay small."""
     bucket = lambda c: F.floor(c / width)
     items = [c for c in right.columns if c != on]
     r = right.withColumn("_b", F.explode(F.sequence(bucket(F.col(rs)), F.greatest(bucket(F.col(re)), bucket(F.col(rs))))))
@@ -37,7 +38,11 @@ def gather(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str
     a = left.withColumn("_lb", bucket(F.col(ls))).withColumn("_b", F.explode(F.sequence(F.col("_lb"), F.greatest(bucket(F.col(le)), F.col("_lb")))))
     met = F.filter("_r", lambda x: (x[rs] <= F.col(le)) & (x[re] >= F.col(ls)) & (F.col("_b") == F.greatest(F.col("_lb"), bucket(x[rs]))))
     joined = a.join(r, [on, "_b"], "left").withColumn("_h", met)
-    return joined.groupBy(*left.columns).agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("hits"))
+    # equal rows of left meet in one group: each has one row in its first bucket, and all have the same hits
+    first = F.sum(F.when(F.col("_b") == F.col("_lb"), 1).otherwise(0)).cast("int")
+    met = joined.groupBy(*left.columns).agg(first.alias("_n"), F.array_sort(F.flatten(F.collect_list("_h"))).alias("hits"))
+    one = F.when(F.col("_n") == 1, F.col("hits")).otherwise(F.filter("hits", lambda _, i: i % F.col("_n") == 0))
+    return met.withColumn("hits", one).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
 def islands(df: DataFrame, by: list[str], gap: int, strict: bool = False) -> DataFrame:

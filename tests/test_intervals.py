@@ -91,6 +91,15 @@ def test_subtract(spark, rows, cuts, want):
     assert got(I.subtract(seg(spark, [(a, b, "pip", 1) for a, b in rows]), spans(spark, cuts))) == want
 
 
+def test_repeated_segments_stay_repeated(spark):
+    twice = seg(spark, [(0, 10, "pip", 1), (0, 10, "pip", 1), (20, 200, "pip", 1), (20, 200, "pip", 1), (20, 200, "pip", 1)])
+    assert got(I.subtract(twice, spans(spark, [(3, 4), (100, 110)]))) == sorted([(0, 3), (4, 10)] * 2 + [(20, 100), (110, 200)] * 3)
+    assert got(I.apply_zones(twice, zones(spark, [(5, 8, "speed@4x")])), "s", "e", "speed") == sorted([(0, 5, 1), (5, 8, 4), (8, 10, 1)] * 2 + [(20, 200, 1)] * 3)
+    z = spark.createDataFrame([(1, us(2), us(6), 1.5, 0.5, 0.5)] * 2, "session_id long, s long, e long, zoom double, cx double, cy double")
+    out = J.annotate_zooms(twice.drop("zooms"), z).collect()
+    assert sorted((r.s, len(r.zooms)) for r in out) == [(0, 2)] * 2 + [(us(20), 0)] * 3
+
+
 def test_subtract_cuts_zooms(spark):
     out = I.subtract(seg(spark, [(0, 10, "pip", 1)], {0: [(2, 8)]}), spans(spark, [(4, 6)])).orderBy("s").collect()
     assert [[(z.s / US, z.e / US) for z in r.zooms] for r in out] == [[(2, 4)], [(6, 8)]]
