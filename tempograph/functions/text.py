@@ -1,8 +1,7 @@
-"""Scalar expressions on text, scores and media strings, all inside the JVM but for the balanced-brace scan."""
+"""Scalar expressions on text, scores and media strings, all inside the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,22 +27,18 @@ def strip_thinking(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), F.lit(" \t\n\r"))
 
 
-def balanced(t: str | None) -> str | None:
-    at, depth = (t or "").find("{"), 0
-    for i in range(at, len(t or "")) if at >= 0 else ():
-        depth += {"{": 1, "}": -1}.get(t[i], 0)
-        if not depth:
-            return t[at : i + 1]
-    return None
-
-
-def _balanced(t: pd.Series) -> pd.Series:
-    return t.map(balanced)
-
-
 def extract_json(text: Column) -> Column:
     """From the first brace to the one that balances it (braces in strings count too); null where there is none."""
-    return F.pandas_udf(_balanced, "string")(text)
+    from_first = F.regexp_extract(text, r"(?s)\{.*", 0)
+    parts = F.regexp_extract_all(from_first, F.lit(r"([{}][^{}]*)"), F.lit(1))  # each begins with a brace
+    state = lambda depth, size, done: F.struct(depth.alias("depth"), size.alias("size"), done.alias("done"))
+
+    def step(a: Column, part: Column) -> Column:
+        depth = a["depth"] + F.when(F.startswith(part, F.lit("{")), 1).otherwise(-1)
+        return F.when(a["done"], a).when(depth == 0, state(depth, a["size"] + 1, F.lit(True))).otherwise(state(depth, a["size"] + F.length(part), F.lit(False)))
+
+    end = F.aggregate(parts, state(F.lit(0), F.lit(0), F.lit(False)), step)
+    return F.when(end["done"], F.substring(from_first, F.lit(1), end["size"]))
 
 
 def slugify(title: Column, most: int = 40) -> Column:

@@ -186,6 +186,48 @@ def extract_frames(s: Source) -> DataFrame:
     return s.centres.join(frames, ["session_id", "second"]).select("point_id", "box_seq")
 
 
+@query("SELECT session_id, duration, CAST(1280 + session_id % 2 * 640 AS INTEGER) AS width, CAST(720 AS INTEGER) AS height, round((24 + session_id % 3) * 1000 / 1001.0E0, 9) AS fps FROM @durations d")
+def probe_media(s: Source) -> DataFrame:
+    stream = lambda kind, width: F.struct(F.lit(kind).alias("codec_type"), width.alias("width"), F.lit(720).alias("height"), F.concat(((24 + F.col("session_id") % 3) * 1000).cast("string"), F.lit("/1001")).alias("r_frame_rate"))
+    streams = F.array(stream("audio", F.lit(1)), stream("video", (1280 + F.col("session_id") % 2 * 640).cast("int")), stream("video", F.lit(2)))
+    said = F.to_json(F.struct(streams.alias("streams"), F.struct(F.format_string("%.6f", writers.seconds("duration")).alias("duration")).alias("format")))
+    got = readers.media(readers.parsed(s.durations.select("session_id", said.alias("value")), "value", "probe"))
+    return got.withColumn("fps", F.round("fps", 9))
+
+
+@query("SELECT session_id, box_seq AS second, x, y, w, h, concat('t', box_seq) AS text FROM @boxes b")
+def ocr_elements(s: Source) -> DataFrame:
+    """Turned polygons as boxes, each second's first entry without points skipped."""
+    corner = lambda *at: F.array(*(F.array(F.col("x") + a * F.col("w"), F.col("y") + b * F.col("h")) for a, b in at))
+    turned = corner((0.5, 0), (1, 0.25), (0.25, 1), (0, 0.75))
+    one = lambda polygon, text: F.struct(polygon.alias("polygon"), text.alias("text"))
+    found = F.array(one(F.array().cast("array<array<double>>"), F.lit("none")), one(turned, F.concat(F.lit("t"), F.col("box_seq").cast("string"))))
+    docs = s.boxes.select("session_id", F.to_json(F.struct(F.col("box_seq").alias("second"), found.alias("found"))).alias("value"))
+    return readers.text_boxes(readers.parsed(docs, "value", "ocr")).drop("box_seq")
+
+
+@query("SELECT session_id, s, e FROM @cuts c UNION ALL SELECT session_id, 0, duration FROM @durations d WHERE session_id NOT IN (SELECT session_id FROM @cuts c)")
+def detect_scenes(s: Source) -> DataFrame:
+    return readers.scenes(readers.parsed(_document(s.cuts, "scenes"), "value", "scenes"), s.durations).select("session_id", "s", "e")
+
+
+@query("SELECT session_id, row_seq, t_us FROM (SELECT session_id, row_seq, t_us - (SELECT min(t_us) FROM @cursor_sparse m) AS t_us FROM @cursor_sparse c) a WHERE t_us < 30000000")
+def scan_window(s: Source) -> DataFrame:
+    start = s.cursor_sparse.agg(F.min("t_us").alias("t0"))
+    return readers.head(s.cursor_sparse.join(F.broadcast(start)).withColumn("t_us", F.col("t_us") - F.col("t0"))).select("session_id", "row_seq", "t_us")
+
+
+@query("SELECT session_id, duration / 1000000 AS csv_to_video_offset_s, CAST(NULL AS DOUBLE) AS video_to_video_offset_s, CAST(NULL AS DOUBLE) AS flash_video_s, CAST(NULL AS DOUBLE) AS clap_csv_s, CAST(NULL AS DOUBLE) AS clap_audio_s, 'flash' AS method, CAST(1 AS DOUBLE) AS confidence FROM @durations d")
+def write_sync(s: Source) -> DataFrame:
+    return writers.sync(s.durations.select("session_id", writers.seconds("duration").alias("csv_to_video_offset_s"), F.lit("flash").alias("method"), F.lit(1).alias("confidence")))
+
+
+@query(f"""WITH {C._WORDS}, a AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM words)
+SELECT session_id, CAST(g AS BIGINT) AS segment, arg_min(s, word_idx) AS s, arg_max(e, word_idx) AS e, string_agg(word, ' ' ORDER BY word_idx) AS text FROM a GROUP BY session_id, g""")
+def word_segments(s: Source) -> DataFrame:
+    return writers.word_segments(C.words_of(s)).drop("words")
+
+
 # ---------------------------------------------------------------- captions and short clips
 
 
@@ -281,6 +323,62 @@ def analyze_fillers(s: Source) -> DataFrame:
     return got.select("session_id", readers.us("start").alias("s"), readers.us("end").alias("e"))
 
 
+def _says(field: str, more: dict) -> Callable[[], model.Client]:
+    """Stands for a model that names the span of each session's first word; its first answer lacks the field."""
+
+    def client() -> model.Client:
+        asked: list[str] = []
+
+        def answer(prompt: str) -> str:
+            import json
+
+            asked.append(prompt)
+            words = json.loads(prompt.split("\n", 1)[1])
+            return "so: " + json.dumps({"odd": 1} if len(asked) % 2 else {field: [{"start": words[0]["s"], "end": words[0]["e"] + 1, **more}]})
+
+        return answer
+
+    return client
+
+
+_FIRST = f"WITH {C._WORDS}, f AS (SELECT session_id, arg_min(e, word_idx) + 1000000 AS e, max(e) + 2000000 AS total FROM words GROUP BY session_id)"
+
+
+@query(f"{_FIRST} SELECT session_id, CAST(0 AS BIGINT) AS s, total AS e, 'cam_full' AS layout FROM f")
+def analyze_layout(s: Source) -> DataFrame:
+    words = C.words_of(s)
+    totals = words.groupBy("session_id").agg((F.max("e") + 2_000_000).alias("total"))
+    return model.layout_plan(words, totals, "Choose layouts.", [_says("segments", {"layout": "cam_full"})], wait=0.0)
+
+
+@query(f"{_FIRST} SELECT session_id, CAST(7 AS INTEGER) AS anchor_word_idx, CAST(0 AS BIGINT) AS s, e, 'strong' AS strength, 'r' AS reason FROM f")
+def analyze_zoom_hints(s: Source) -> DataFrame:
+    return model.zoom_hints(C.words_of(s), "Find moments to look closer.", [_says("hints", {"anchor_word_idx": 7, "strength": "strong", "reason": "r"})], wait=0.0)
+
+
+@query(f"{_FIRST} SELECT session_id, CAST(0 AS BIGINT) AS s, e, 'r' AS reason, 'high' AS confidence FROM f")
+def analyze_dead_zone_cues(s: Source) -> DataFrame:
+    return model.dead_zone_cues(C.words_of(s), "Find what may be skipped.", [_says("cues", {"reason": "r", "confidence": "odd"})], wait=0.0)
+
+
+def _scorer() -> model.Client:
+    """Stands for a model: the transcript's length modulo 13 is the score, above 10 no answer that holds."""
+
+    def answer(prompt: str) -> str:
+        import json
+
+        n = len(json.loads(prompt.split("\n", 1)[1])["transcript"])
+        return json.dumps({"score": n % 13, "title": f"t{n}", "start_offset": 0.25})
+
+    return answer
+
+
+@query("""SELECT session_id, idx, CASE WHEN length(text) % 13 <= 10 THEN CAST(length(text) % 13 AS DOUBLE) END AS llm, CASE WHEN length(text) % 13 <= 10 THEN concat('t', length(text)) END AS title,
+ CASE WHEN length(text) % 13 <= 10 THEN s + 250000 ELSE s END AS effective_s, e AS effective_e FROM @sents q""")
+def score_clip_llm(s: Source) -> DataFrame:
+    return model.score_clips(s.sents, "Score this clip.", [_scorer], wait=0.0).select("session_id", "idx", "llm", "title", "effective_s", "effective_e")
+
+
 @query("SELECT vec_id // 100 AS session_id, vec_id % 100 AS idx, CAST(length(concat(' s', vec_id, ' ')) AS DOUBLE) AS v0 FROM embeddings")
 def embed_sentences(s: Source) -> DataFrame:
     factory = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]

@@ -24,6 +24,11 @@ SCHEMAS = {
     "asr": "segments array<struct<words:array<struct<word:string,start:double,end:double,probability:double>>>>, language string",
     "ranked": "ranked array<struct<candidate:struct<start:double,end:double,sentence_idx_range:array<int>>,llm:struct<score:double,title:string,reason:string,start_offset:double,end_offset:double>,audio_energy:double,punctuation:double,length_score:double,composite:double,effective_start:double,effective_end:double>>",
 }
+SCHEMAS |= {
+    "probe": "streams array<struct<codec_type:string,width:int,height:int,r_frame_rate:string>>, format struct<duration:string>",
+    "ocr": "second long, found array<struct<polygon:array<array<double>>,text:string>>",
+    "scenes": "scenes array<struct<start:double,end:double>>",
+}
 SCHEMAS |= {"filler_cuts": "cuts array<struct<start:double,end:double,reason:string,confidence:string>>"}
 
 
@@ -127,3 +132,31 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     from tempograph.functions.text import fingerprint
 
     return spark.read.format("binaryFile").load(path).select("path", "length", fingerprint(F.col("content")).alias("print"))
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """The session dimension from a probe's documents: duration, and width, height and frames a second of the first video stream."""
+    d = docs.where("streams is not null").withColumn("_v", F.filter("streams", lambda x: x["codec_type"] == "video")).withColumn("_v", F.get("_v", F.lit(0)))
+    rate = F.split("_v.r_frame_rate", "/")
+    fps = F.try_divide(F.get(rate, F.lit(0)).try_cast("double"), F.coalesce(F.get(rate, F.lit(1)).try_cast("double"), F.lit(1.0)))
+    return d.select("session_id", us(F.col("format.duration").try_cast("double")).alias("duration"), "_v.width", "_v.height", fps.alias("fps"))
+
+
+def text_boxes(docs: DataFrame) -> DataFrame:
+    """Text recognition's polygons as boxes: session_id, second, box_seq, x, y, w, h, text; entries without points are skipped."""
+    rows = docs.select("session_id", "second", F.posexplode("found").alias("box_seq", "f")).where("size(f.polygon) > 0")
+    at = lambda k: F.transform("f.polygon", lambda p: F.get(p, F.lit(k)))
+    low, high = (lambda k: F.array_min(at(k))), (lambda k: F.array_max(at(k)))
+    return rows.select("session_id", "second", "box_seq", low(0).alias("x"), low(1).alias("y"), (high(0) - low(0)).alias("w"), (high(1) - low(1)).alias("h"), F.col("f.text").alias("text")).where("x is not null and y is not null")
+
+
+def scenes(docs: DataFrame, durations: DataFrame) -> DataFrame:
+    """Scenes (session_id, seq, s, e); a session without any is one scene from 0 to its duration."""
+    found = spans(docs, "scenes")
+    whole = durations.join(found.select("session_id").distinct(), "session_id", "left_anti")
+    return found.unionByName(whole.select("session_id", F.lit(0).alias("seq"), F.lit(0).cast("long").alias("s"), F.col("duration").alias("e")))
+
+
+def head(samples: DataFrame, limit: int = 30_000_000) -> DataFrame:
+    """Samples (t_us) of the scan window, the first ``limit`` microseconds, in which sync marks are looked for."""
+    return samples.where(F.col("t_us") < limit)

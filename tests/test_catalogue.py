@@ -10,7 +10,7 @@ import pytest
 import tempograph.plans as plans
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"unify_timeline", "unify_valid"}
+SLOW: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
