@@ -3,11 +3,13 @@
 Binary codes (one bit for each component: whether it is above 0) are cut into segments of 16 bits; a shard of rows has one
 table for each segment.  A query looks up all segment values within radius 0, then 1, and so on; when radius r is done in all m
 segments, every code within m (r + 1) - 1 bits has been seen, and the search ends as soon as its kth verified distance is within that.
-Shards and blocks of queries meet in tasks of bounded size; the best k of each shard are merged by (distance, id).
+Shards hold as many rows as a task can index, and blocks as many queries as it can answer, so that few copies of either are sent;
+the best k of each shard are merged by (distance, id).
 
 Defined results: rows with a null id, or a vector that is null, empty or holds null or NaN components, have no code and are
 neither queries nor neighbours; codes of other lengths than the query's are no neighbours; a row isn't its own
-neighbour, but a repeated row with another id is; ties go to the smaller id; a shorter table gives fewer than k
+neighbour, but a repeated row with another id is; of rows with one id and different vectors the one with the smallest code asks, and each
+is a neighbour; ties go to the smaller id; a shorter table gives fewer than k
 neighbours; an empty table gives no rows; further columns are ignored.
 """
 
@@ -20,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows of a shard and queries of a block, about
-SHARD, QUERIES = 16_384, 1_024
+from tempograph.llm.textbytes import utf8
+
+#: segments of a shard's rows, and queries of a block, about; blocks of fewer queries only keep all cores busy
+SHARD, QUERIES, FEW = 1 << 21, 1 << 16, 256
 BITS = 16
 
 
@@ -34,7 +38,7 @@ def search(codes: np.ndarray, ids: np.ndarray, query: np.ndarray, own: np.ndarra
     """(query number, neighbour id, distance) of the k nearest of ``codes`` (rows of uint16 segments, ascending ``ids``) for
     each query; the row with the query's own id is left out."""
     n, m = codes.shape
-    order = [np.argsort(codes[:, s], kind="stable") for s in range(m)]
+    order = [np.argsort(codes[:, s], kind="stable").astype(np.int32) for s in range(m)]
     starts = [np.searchsorted(codes[order[s], s], np.arange(65_537)) for s in range(m)]
     masks = rings(BITS)
     rows, found, away = [], [], []
@@ -80,23 +84,27 @@ def coded(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
 def top_k(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100) -> DataFrame:
     """The k nearest other rows of every row whose id is divisible by ``every``: query_id, rank, neighbour_id, distance."""
     base = coded(rows, id_col, vector)
-    sizes = base.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-sizes["n"] // SHARD)), max(1, -(-sizes["q"] // QUERIES))
+    sizes = base.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q"), F.coalesce(F.max(F.length("bits")), F.lit(1)).alias("d")).first()
+    shards = max(1, -(-sizes["n"] * -(-sizes["d"] // BITS) // SHARD))
+    busy = -(-rows.sparkSession.sparkContext.defaultParallelism // shards)
+    blocks = max(1, -(-sizes["q"] // QUERIES), min(busy, -(-sizes["q"] // FEW)))
     data = base.select("id", "bits", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    asked = base.where(F.col("id") % every == 0).dropDuplicates(["id", "bits"])
+    asked = base.where(F.col("id") % every == 0).groupBy("id").agg(F.min("bits").alias("bits"))
     asked = asked.select("id", "bits", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
 
     def meet(table: pa.Table) -> pa.Table:
         ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        bits = table.column("bits").to_pylist()
-        length = np.array([len(b) for b in bits])
+        bits, off = utf8(table.column("bits"))
+        length = np.diff(off)
         out = [[], [], []]
         for d in np.unique(length[asks]).tolist():
             use = np.flatnonzero(length == d)
-            raw = np.frombuffer("".join(bits[i] for i in use.tolist()).encode(), np.uint8).reshape(len(use), d) - 48
-            wide = np.zeros((len(use), -(-d // BITS) * BITS), np.uint8)
-            wide[:, :d] = raw
-            code = np.packbits(wide, axis=1, bitorder="little").view(np.uint16)
+            code = np.zeros((len(use), -(-d // BITS)), np.uint16)
+            for a in range(0, len(use), 65_536):
+                part = use[a : a + 65_536]
+                wide = np.zeros((len(part), code.shape[1] * BITS), np.uint8)
+                wide[:, :d] = bits[off[part][:, None] + np.arange(d)] - 48
+                code[a : a + len(part)] = np.packbits(wide, axis=1, bitorder="little").view(np.uint16)
             of, ask = use[~asks[use]], asks[use]
             order = np.argsort(ids[of], kind="stable")
             q, found, away = search(code[~ask][order], ids[of][order], code[ask], ids[use[ask]], k)

@@ -117,7 +117,10 @@ def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == {(59, 0)}
 
 
-def test_hamming(spark):
+@pytest.mark.parametrize("shard", [hamming.SHARD, 200])
+def test_hamming(spark, monkeypatch, shard):
+    monkeypatch.setattr(hamming, "SHARD", shard)
+    monkeypatch.setattr(hamming, "FEW", 2)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 40))
     rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)] + [(None, [1.0] * 40), (301, None), (302, [float("nan")] * 40), (303, [1.0])]
@@ -128,6 +131,11 @@ def test_hamming(spark):
     for q in range(0, 300, 50):
         assert got[q] == sorted((int(((x[q] > 0) != (x[j] > 0)).sum()), j) for j in range(300) if j != q)[:5]
     assert hamming.top_k(df.where("false")).count() == 0
+    again = df.unionByName(df.where("vec_id in (0, 50, 7)")).unionByName(df.where("vec_id = 9").withColumn("vec_id", F.lit(0).cast("long")))
+    lists = defaultdict(list)
+    for r in hamming.top_k(again, k=5, every=50).collect():
+        lists[r.query_id].append(r["rank"])
+    assert {q: sorted(v) for q, v in lists.items()} == {q: [1, 2, 3, 4, 5] for q in range(0, 300, 50)}
     few = hamming.top_k(df.where("vec_id in (0, 1)"), k=5, every=50).collect()
     assert [(r.query_id, r.neighbour_id) for r in few] == [(0, 1)]
 
