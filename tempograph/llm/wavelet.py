@@ -167,6 +167,31 @@ class WaveletFile:
         return self.alphabet[values] if self.n else np.zeros(0, "<u4")
 
 
+#: ranges of doc_id that are cut at once; more shards are cut within each range
+RANGES = 1024
+
+
+def cuts(docs: DataFrame, n: int) -> np.ndarray:
+    """About n - 1 ascending doc_ids at which shards begin, by approximate quantiles: of the whole, and beyond RANGES shards also within each of
+    so many ranges, so that no aggregate holds more than one range's share."""
+    at = lambda df, k: df.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], max(10_000, 50 * k)).alias("at"))
+    top = min(n, RANGES)
+    found = at(docs, top).first()["at"]
+    bounds = np.array(found or [0], np.int64)[: top - 1]
+    if n == top or found is None:
+        return bounds
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(shared.value, batch.column("doc_id").to_numpy(), "right")), batch.column("doc_id")], ["r", "doc_id"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").mapInArrow(ranged, "r long, doc_id long")
+    fine = at(rows.groupBy("r"), -(-n // top)).select(F.explode("at").alias("at")).toArrow().column("at").to_numpy()
+    shared.destroy()
+    return np.unique(np.concatenate([bounds, fine]))
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int = SHARD) -> DataFrame:
     """Write ``folder``/shard-N.wm for all rows of ``docs`` (doc_id, text); lazily returns (shard, path, n_docs, n_tokens,
     n_bytes), a row for each file.  A file is written under a name of its attempt and then renamed, so that a task can be
@@ -174,8 +199,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, math.ceil(size / shard_bytes))
-    found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 50 * n)).alias("at")).first()["at"]
-    bounds = np.array(found or [0], np.int64)[: n - 1]
+    bounds = docs.sparkSession.sparkContext.broadcast(cuts(docs, n))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -188,7 +212,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                 out = np.insert(ids.astype(wide), ends, end_id)
                 at = (np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * wide.itemsize).astype(np.int32)
                 values = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(out))])
-                key = np.searchsorted(bounds, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
+                key = np.searchsorted(bounds.value, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), part.column("doc_id"), values], ["shard", "doc_id", "ids"])
 
     def write(table: pa.Table) -> pa.Table:

@@ -274,7 +274,9 @@ def test_nnls():
     assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-6)
 
 
-def test_wavelet_round_trip(spark):
+@pytest.mark.parametrize("ranges", [wavelet.RANGES, 2])
+def test_wavelet_round_trip(spark, monkeypatch, ranges):
+    monkeypatch.setattr(wavelet, "RANGES", ranges)
     rows = [*texts(), (None, "no id"), (3, "again")]
     got = wavelet.round_trip(docs_of(spark, rows), "word_bpe_49k.json", 2, shard_bytes=40_000).collect()
     want = sorted(ids_of("word_bpe_49k.json", rows, 2), key=lambda x: (x[0] is not None, x[0] or 0))
