@@ -27,6 +27,7 @@ empty table gives no rows; further columns stay as they are.  Ties can't arise,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +87,10 @@ class Lines:
             raise ValueError("the threshold must be from 3/4 to 1")
         self.docs, self.scratch, self.num, self.den = docs, scratch, num, den
         cells = docs.where("doc_id is not null").select(F.explode(F.split("text", " ")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {(1 << CELL_BITS) - 1} as int)").alias("c"))
-        rarity = [0] * (1 << CELL_BITS)
-        for c, n in cells.groupBy("c").count().select("c", F.ceil(F.log2("count")).cast("int")).collect():  # one row for each cell
-            rarity[c] = min(n, 62) + 1
+        counted = cells.groupBy("c").count().select("c", F.least(F.ceil(F.log2("count")), F.lit(62)).cast("int").alias("n")).toArrow()  # one row for each cell
+        order = np.zeros(1 << CELL_BITS, np.int64)
+        order[counted.column("c").to_numpy()] = counted.column("n").to_numpy() + 1
+        rarity = order.tolist()
         lines = once(lines_of(docs), "w", ordered(F.col("line"), rarity)).drop("line")
         lines = lines.withColumns({"n": F.size("w"), "key": F.xxhash64("w"), "key2": F.xxhash64(F.lit(2), "w")}).where("n > 0")
         many = F.expr(f"n - cast(ceil(n * {2 * num - den} / {den}) as int) + 1")
@@ -119,8 +121,8 @@ class Lines:
         return before("d2", "l2", "d", "l") & (fits | (F.greatest(n, n2) >= CLIP))
 
     def lists(self) -> DataFrame:
-        """t, d, l, n, i, b, g, d2, l2, hit: every pair of words that several classes share, with the list's length and the place of its first class, and
-        whether that one passes the filters."""
+        """t, d, l, n, i, b, g, d2, l2, some, hit: every pair of words that several classes share, with the list's length and the place of its first
+        class, whether any other has a number of words that is near enough, and whether the first passes the filters."""
         firsts = self.all.where("p is not null").join(self.few, ["key", "key2"], "left").where("d0 is null or (d = d0 and l = l0)")
         # a posting is four longs: the pair's 48 bits and its place, the line's place, and the sign with the number of words
         top = lambda v: F.shiftleft(F.least(v.cast("long"), F.lit(CLIP)), 48)
@@ -134,12 +136,14 @@ class Lines:
         # while both its readers need all its columns
         cold = apart((posts.where(~cell.isin(hot)) if hot else posts).repartition(low(F.col("ti"))))
         often = cold.groupBy("t").agg(F.count("*").alias("g"), *(F.max(c).alias(f"{c}2") for c in "dlnib")).where("g > 1 and n2 > 0 and i2 + l2 >= 0 and d2 is not null and b2 is not null").select("t", "g")
-        out = cold.join(often.hint("shuffle_hash"), "t").withColumn("lead", lead.over(Window.partitionBy("t"))).select(*cold.columns, "g", "lead")
+        sizes = Window.partitionBy("t").orderBy("n")
+        some = F.coalesce(F.lag("n").over(sizes) * self.den >= F.col("n") * self.num, F.lit(False)) | F.coalesce(F.lead("n").over(sizes) * self.num <= F.col("n") * self.den, F.lit(False))
+        out = cold.join(often.hint("shuffle_hash"), "t").withColumns({"lead": lead.over(Window.partitionBy("t")), "some": some}).select(*cold.columns, "g", "lead", "some")
         if hot:
             large = apart(posts.where(cell.isin(hot)))
             heads = large.groupBy("t").agg(F.count("*").alias("g"), lead.alias("lead")).where("g > 1")
-            out = out.unionByName(large.hint("merge").join(heads, "t").select(*out.columns))
-        out = out.select("t", "d", "l", "n", "i", "b", "g", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.b").alias("b2"))
+            out = out.unionByName(large.hint("merge").join(heads, "t").withColumn("some", F.lit(True)).select(*out.columns))
+        out = out.select("t", "d", "l", "n", "i", "b", "g", "some", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.b").alias("b2"))
         return self.scratch.save(out.withColumn("hit", self.near()).drop("n2", "i2", "b2"), "lists")
 
     def sets(self, places: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ class Lines:
         s, lists = self.scratch, self.lists()
         found = self.verified(lists.where("hit"))
         # lists in which something may stand between the first class, which was met, and a class or the match it has
-        later = lists.where("g > 2 and (d2 <> d or l2 <> l)").select("t", "d", "l", "n", "i", "b", "d2", "l2", (F.col("g") > SMALL).alias("long"))
+        later = lists.where("g > 2 and some and (d2 <> d or l2 <> l)").select("t", "d", "l", "n", "i", "b", "d2", "l2", (F.col("g") > SMALL).alias("long"))
         short, long = later.where("not long").drop("long"), later.where("long").drop("long")
         rest = self.earlier(short, short.drop("d2", "l2"), found).select("d", "l", "d2", "l2")
         if not long.isEmpty():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm.base import Scratch
-from tempograph.llm.textbytes import slices, utf8
+from tempograph.llm.textbytes import give_back, slices, utf8
 from tempograph.llm.tokens import encoder
 
 #: tokens of a length class
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = 2048) ->
     for row in counts:
         hist[row["length"]] = row["count"]
     places = runs(plan(hist, most), most)
+    give_back()
 
     chunks = docs.sparkSession.createDataFrame([(n, max(1, int(hist[n] ** 0.5))) for n in np.flatnonzero(hist).tolist()], "length long, chunks long")
     cut = cut.join(F.broadcast(chunks), "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "chunks"))

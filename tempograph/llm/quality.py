@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm.labelled import fold_of, platt, prior_shift, sample, sigmoid
-from tempograph.llm.textbytes import slices
+from tempograph.llm.textbytes import give_back, slices
 
 #: bytes of a piece that is compressed by itself, so that the dictionary and not the text's own past decides
 PIECE = 1024
@@ -91,7 +91,10 @@ def scorer(model: dict | None, share: float) -> Callable[[list[str | None]], np.
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, row_bytes: int = 16_384) -> tuple[dict | None, float]:
     texts, y, share = sample(docs, labels, label, per_class, row_bytes)
-    return fit(texts, y, share), share
+    model = fit(texts, y, share)
+    del texts
+    give_back()
+    return model, share
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = 4000, row_bytes: int = 16_384) -> DataFrame:
