@@ -104,8 +104,8 @@ class Encoder:
         if len(self.keys):
             known = self.keys[spot.clip(max=len(self.keys) - 1)] == one
         # equal hashes must mean equal bytes, within this batch and in what is remembered
-        lead = begin[where][back]
-        if (lens != lens[where][back]).any() or not _same(raw, begin, raw, lead, lens):
+        away = (begin[where][back] - begin).astype(np.int32 if len(raw) < 1 << 30 else np.int64)
+        if (lens != lens[where][back]).any() or (raw != raw[np.arange(len(raw), dtype=away.dtype) + np.repeat(away, lens)]).any():  # the chunks are all of raw
             return self._plain(raw, off)
         seen = spot[known]
         if (lens[where[known]] != self.text_len[seen]).any() or not _same(raw, begin[where[known]], self.text, self.text_at[seen], self.text_len[seen]):
