@@ -9,6 +9,7 @@ import tempograph.plans as plans
 
 QUERIES = [
     "gap_scores",
+    "smooth3",
 ]
 
 
