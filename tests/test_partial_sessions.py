@@ -10,6 +10,7 @@ import tempograph.plans as plans
 QUERIES = [
     "gap_scores",
     "smooth3",
+    "depth_scores",
 ]
 
 
