@@ -11,6 +11,7 @@ QUERIES = [
     "gap_scores",
     "smooth3",
     "depth_scores",
+    "boundaries_at_scale",
 ]
 
 
