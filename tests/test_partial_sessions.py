@@ -12,6 +12,7 @@ QUERIES = [
     "smooth3",
     "depth_scores",
     "boundaries_at_scale",
+    "union_distinct",
 ]
 
 
