@@ -19,6 +19,9 @@ comes before the match that it has so far, in the lists that may hold an earlier
 a line finds its first one, and few pairs are left.  A pair of words that very many lines share is found by a count over
 65,536 cells, and its list is never sorted or gathered in one task.
 
+The postings, by far the most of what is shuffled, are made and met in up to ``PASSES`` passes, each of the pairs with certain bits of
+their hash; the files of one pass are gone before the next.  Tables are dropped as soon as nothing reads them.
+
 Defined results: the match of a removed line is the earliest line that is similar to it; lines without words are never removed; null
 texts stay null, empty ones empty; a text that loses all its words goes with its row; rows with the same doc_id share positions and so keep
 or lose the same lines (where their texts differ, one of them is compared); rows with a null doc_id are left as they are and match nothing; an
@@ -31,13 +34,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.llm.base import Scratch, if_small
+from tempograph.llm.base import BROADCAST_ROWS, Scratch, if_small, parts_for
 
 CELL_BITS = 17
 #: classes without a match in one list up to which they meet all that comes before at once
 SMALL = 64
 #: lines in a cell of the pairs' count from which its pairs are handled without windows
 HOT = 1_000_000
+#: passes over the postings in large tables, and MB of documents for each of them
+PASSES, PASS_MB = 3, 24
 #: longs of the longer sign of lines in long lists (a power of 2)
 WIDE = 8
 #: numbers of words and places from here on aren't told apart, and no filter but verification holds for such lines
@@ -105,7 +110,9 @@ class Lines:
         # the first of the lines with the same set stands for them
         repeated = self.all.groupBy("key", "key2").agg(F.count("*").alias("c"), F.min(F.struct("d", "l")).alias("at")).where("c > 1")
         self.repeated = scratch.save(repeated.select("key", "key2", F.col("at.d").alias("d0"), F.col("at.l").alias("l0")), "repeated")
-        self.few = if_small(self.repeated)
+        many = self.repeated.count()
+        self.few, self.small = if_small(self.repeated, many), many <= BROADCAST_ROWS
+        scratch.tidy()
 
     def near(self, wide: bool = False) -> Column:
         """Whether the other line (d2, l2) is earlier and passes the filters by lengths, by places of what may be the first shared pair of words, and
@@ -120,31 +127,44 @@ class Lines:
             fits = fits & (sum((differ(f"s{k}") for k in range(1, WIDE)), differ("s0")) <= most)
         return before("d2", "l2", "d", "l") & (fits | (F.greatest(n, n2) >= CLIP))
 
-    def lists(self) -> DataFrame:
-        """t, d, l, n, i, b, g, d2, l2, some, hit: every pair of words that several classes share, with the list's length and the place of its first
-        class, whether any other has a number of words that is near enough, and whether the first passes the filters."""
-        firsts = self.all.where("p is not null").join(self.few, ["key", "key2"], "left").where("d0 is null or (d = d0 and l = l0)")
+    def lists(self) -> list[DataFrame]:
+        """t, d, l, n, i, b, g, d2, l2, hit, later: postings of the pairs of words that several classes share, with the list's length and the place of its
+        first class, whether that passes the filters, and whether something may stand between it and this one: any other with a number of words
+        that is near enough.  Postings of which neither holds are left out, and t, n, i, b are null where only the first does.  One table for each pass."""
+        firsts = self.all.where("p is not null").join(self.few, ["key", "key2"], "left").where("d0 is null or (d = d0 and l = l0)").select("d", "l", "n", "b", "p")
+        firsts = firsts if self.small else self.scratch.save(firsts, "firsts")  # else each pass would shuffle all lines
         # a posting is four longs: the pair's 48 bits and its place, the line's place, and the sign with the number of words
         top = lambda v: F.shiftleft(F.least(v.cast("long"), F.lit(CLIP)), 48)
         low = lambda v: v.bitwiseAND(F.lit((1 << 48) - 1))
-        posts = firsts.select("d", "l", top(F.col("n")).bitwiseOR(F.col("b")).alias("nb"), F.posexplode("p").alias("i", "t")).select("d", "l", "nb", top(F.col("i")).bitwiseOR(F.col("t")).alias("ti"))
-        cell = low(F.col("ti")).bitwiseAND(F.lit(0xFFFF))
+        posts = firsts.select("d", "l", top(F.col("n")).bitwiseOR(F.col("b")).alias("nb"), F.posexplode("p").alias("i", "t"))
+        cell = F.col("t").bitwiseAND(F.lit(0xFFFF))
         hot = [r.c for r in posts.groupBy(cell.alias("c")).count().where(F.col("count") >= HOT).select("c").collect()]  # 65,536 cells at most
+        packed = lambda df: df.select("d", "l", "nb", top(F.col("i")).bitwiseOR(F.col("t")).alias("ti"))
         apart = lambda df: df.select(low(F.col("ti")).alias("t"), "d", "l", F.shiftrightunsigned("nb", 48).alias("n"), F.shiftrightunsigned("ti", 48).alias("i"), low(F.col("nb")).alias("b"))
         lead = F.min(F.struct("d", "l", "n", "i", "b"))
-        # most pairs of words are there once: a count finds the others before any sort, in the same exchange, which is the same one only
-        # while both its readers need all its columns
-        cold = apart((posts.where(~cell.isin(hot)) if hot else posts).repartition(low(F.col("ti"))))
-        often = cold.groupBy("t").agg(F.count("*").alias("g"), *(F.max(c).alias(f"{c}2") for c in "dlnib")).where("g > 1 and n2 > 0 and i2 + l2 >= 0 and d2 is not null and b2 is not null").select("t", "g")
-        sizes = Window.partitionBy("t").orderBy("n")
-        some = F.coalesce(F.lag("n").over(sizes) * self.den >= F.col("n") * self.num, F.lit(False)) | F.coalesce(F.lead("n").over(sizes) * self.num <= F.col("n") * self.den, F.lit(False))
-        out = cold.join(often.hint("shuffle_hash"), "t").withColumns({"lead": lead.over(Window.partitionBy("t")), "some": some}).select(*cold.columns, "g", "lead", "some")
-        if hot:
-            large = apart(posts.where(cell.isin(hot)))
-            heads = large.groupBy("t").agg(F.count("*").alias("g"), lead.alias("lead")).where("g > 1")
-            out = out.unionByName(large.hint("merge").join(heads, "t").withColumn("some", F.lit(True)).select(*out.columns))
-        out = out.select("t", "d", "l", "n", "i", "b", "g", "some", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.b").alias("b2"))
-        return self.scratch.save(out.withColumn("hit", self.near()).drop("n2", "i2", "b2"), "lists")
+        passes = min(PASSES, parts_for(self.docs, PASS_MB))
+        out = []
+        for k in range(passes):
+            own = posts.where(F.shiftright("t", 16) % passes == k)
+            # most pairs of words are there once: a count finds the others before any sort, in the same exchange, which is the same one only
+            # while both its readers need all its columns
+            cold = apart(packed(own.where(~cell.isin(hot)) if hot else own).repartition(low(F.col("ti"))))
+            often = cold.groupBy("t").agg(F.count("*").alias("g"), F.max(F.coalesce(F.expr("d ^ l ^ n ^ i ^ b"), F.lit(0))).alias("x")).where("g > 1 and x is not null").select("t", "g")
+            sizes = Window.partitionBy("t").orderBy("n")
+            whole = sizes.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the same order, for one sort
+            some = F.coalesce(F.lag("n").over(sizes) * self.den >= F.col("n") * self.num, F.lit(False)) | F.coalesce(F.lead("n").over(sizes) * self.num <= F.col("n") * self.den, F.lit(False))
+            met = cold.join(often.hint("shuffle_hash"), "t").withColumns({"lead": lead.over(whole), "some": some}).select(*cold.columns, "g", "lead", "some")
+            if hot:
+                large = apart(packed(own.where(cell.isin(hot))))
+                heads = large.groupBy("t").agg(F.count("*").alias("g"), lead.alias("lead")).where("g > 1")
+                met = met.unionByName(large.hint("merge").join(heads, "t").withColumn("some", F.lit(True)).select(*met.columns))
+            met = met.select("t", "d", "l", "n", "i", "b", "g", "some", F.col("lead.d").alias("d2"), F.col("lead.l").alias("l2"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.b").alias("b2"))
+            met = met.select("t", "d", "l", "n", "i", "b", "g", "d2", "l2", self.near().alias("hit"), F.expr("g > 2 and some and (d2 <> d or l2 <> l)").alias("later"))
+            out.append(self.scratch.save(met.where("hit or later").withColumns({c: F.when(F.col("later"), F.col(c)) for c in "tnib"}), "lists"))
+            self.scratch.tidy()
+        if not self.small:
+            self.scratch.drop(firsts)
+        return out
 
     def sets(self, places: DataFrame) -> DataFrame:
         """d, l, w: the whole sets of the lines at these places."""
@@ -174,10 +194,11 @@ class Lines:
 
     def similar(self) -> DataFrame:
         """d, l, d0, l0: every class that has an earlier similar one, with the earliest."""
-        s, lists = self.scratch, self.lists()
+        s, tables = self.scratch, self.lists()
+        lists = s.read(*tables)
         found = self.verified(lists.where("hit"))
         # lists in which something may stand between the first class, which was met, and a class or the match it has
-        later = lists.where("g > 2 and some and (d2 <> d or l2 <> l)").select("t", "d", "l", "n", "i", "b", "d2", "l2", (F.col("g") > SMALL).alias("long"))
+        later = lists.where("later").select("t", "d", "l", "n", "i", "b", "d2", "l2", (F.col("g") > SMALL).alias("long"))
         short, long = later.where("not long").drop("long"), later.where("long").drop("long")
         rest = self.earlier(short, short.drop("d2", "l2"), found).select("d", "l", "d2", "l2")
         if not long.isEmpty():
@@ -193,7 +214,7 @@ class Lines:
                 s.drop(sets)
             rest = rest.unionByName(self.earlier(long, long.drop("d2", "l2"), found).select("d", "l", "d2", "l2"))
         more = self.verified(rest)
-        s.drop(lists)
+        s.drop(*tables)
         return s.save(found.unionByName(more).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*"), "similar")
 
     def rounds(self, long: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -237,7 +258,9 @@ def matches(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     copies = slim.join(if_small(keys), ["key", "key2"]).select("d", "l", "d0", "l0")
     same = slim.join(lines.few, ["key", "key2"]).where(before("d0", "l0", "d", "l")).select("d", "l", "d0", "l0")
     out = copies.unionByName(same).groupBy("d", "l").agg(F.min(F.struct("d0", "l0")).alias("at")).select("d", "l", "at.*")
-    return scratch.save(out, "removed")
+    out = scratch.save(out, "removed")
+    scratch.only(out)
+    return out
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
