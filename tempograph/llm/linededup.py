@@ -42,7 +42,7 @@ SMALL = 64
 #: lines in a cell of the pairs' count from which its pairs are handled without windows
 HOT = 1_000_000
 #: passes over the postings in large tables, and MB of documents for each of them
-PASSES, PASS_MB = 3, 24
+PASSES, PASS_MB = 4, 24
 #: longs of the longer sign of lines in long lists (a power of 2)
 WIDE = 8
 #: numbers of words and places from here on aren't told apart, and no filter but verification holds for such lines
@@ -65,9 +65,9 @@ def word_hashes(line: Column) -> Column:
 def ordered(line: Column, rarity: list[int]) -> Column:
     """Distinct hashes of a line's words in the global order: 6 bits of the cell's logarithmic count before 57 bits of the hash."""
     table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<long>")  # a constant, folded once
-    cell = lambda h: F.get(table, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int"))
-    key = lambda w: F.shiftleft(cell(F.xxhash64(w)), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), key)), key(F.lit(""))))
+    cell = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), F.lit(0).cast("long"))  # noqa: E731  never null, so that the sort is one of longs
+    key = lambda h: F.shiftleft(cell(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    return F.sort_array(F.transform(word_hashes(line), key))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -278,6 +278,6 @@ def without_repeats(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     # the row travels as one struct, so that no column's name can clash
     rows = docs.select(F.struct("*").alias("_row")).join(gone, F.col("_row.doc_id") == F.col("_doc"), "left")
     left = F.array_join(F.filter(F.split("_row.text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left))
-    rows = rows.where(F.col("_gone").isNull() | (F.size(word_hashes(F.translate("_text", "\n", " "))) > 0))
+    rows = once(rows, "_text", F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left))
+    rows = rows.where(F.col("_gone").isNull() | (F.btrim("_text", F.lit(" \n" + _BLANK)) != ""))
     return rows.select(*(F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 
@@ -41,3 +42,16 @@ def test_passes_give_the_same_lines(spark, monkeypatch, seed, small, hot, broadc
     lists = [x for x in saved if x[0] == "lists"]
     assert len(lists) == 3 and sum(x[2] > 0 for x in lists) > 1
     assert ("firsts" in [x[0] for x in saved]) == (broadcast < 0)
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    """Else a pass runs beside the files of the ones before; the session's own setting stays."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, was = blocks.getAllFiles().size(), spark.conf.get(base.CLEANUP)
+    out = base.Scratch(spark, "t").save(spark.range(100_000).groupBy("id").count(), "t")
+    end = time.time() + 10
+    while blocks.getAllFiles().size() > before and time.time() < end:
+        time.sleep(0.1)
+    assert blocks.getAllFiles().size() <= before
+    assert spark.conf.get(base.CLEANUP) == was
+    assert out.count() == 100_000
